@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import zlib
 from collections import Counter
@@ -23,51 +25,47 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+# How a byte-level tokenizer splits a text, and the characters that stand for bytes in its vocabulary.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SHOWN = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+
+
+def byte_of() -> dict[str, int]:
+    hidden = [b for b in range(256) if b not in SHOWN]
+    return {chr(b): b for b in SHOWN} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class Encoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes, those that `tokenizers` gives for the file.
 
-    The byte-level pre-tokenizer never joins what stands on both sides of a single space between other characters, so
-    the ids of a text are those of its space-led parts, one after another; each distinct part is encoded once and kept
-    (up to `keep` parts, then the store starts anew). A text with a space beside other white space is encoded whole.
+    Such a file's merges are in the order of its ids, so the ranks of its vocabulary are all that a faster
+    implementation of byte-pair merging needs; a text that this can't take is left to `tokenizers`.
     """
 
-    def __init__(self, path: str, keep: int = 400_000, segment: int = 1 << 20) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keep, self.segment = keep, segment
-        self.parts: dict[str, bytes | bool] = {}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.slow = Tokenizer.from_file(path)
+        self.slow.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        byte, special = byte_of(), {x["content"] for x in made["added_tokens"]}
+        ranks = {bytes(byte[c] for c in token): rank for token, rank in made["model"]["vocab"].items() if token not in special}
+        self.fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def encode(self, text: str) -> bytes:
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except Exception:  # noqa: BLE001  the regular expression gave up on a run of characters
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, missing: list[str]) -> None:
-        if len(self.parts) > self.keep:
-            self.parts.clear()
-        plain = [p for p in missing if p and not p[0].isspace() and not p[-1].isspace()]
-        self.parts.update(zip(plain, self._ids([f" {p}" for p in plain]), strict=True))
-        self.parts.update((p, False) for p in missing if p not in self.parts)
 
-    def encode(self, text: str) -> bytes:
-        first, *_ = text.split(" ", 1)
-        if len(first) == len(text) or first[-1:].isspace():
-            return self._ids([text])[0] if text else b""
-        out, at = self._ids([first]) if first else [], len(first) + 1
-        while at <= len(text):
-            end = text.find(" ", at + self.segment)
-            end = len(text) if end < 0 else end
-            parts = text[at:end].split(" ")
-            found = list(map(self.parts.get, parts))
-            if None in found:
-                self._learn(list({p for p, x in zip(parts, found, strict=True) if x is None}))
-                found = list(map(self.parts.get, parts))
-            if False in found:
-                return self._ids([text])[0]
-            out += found
-            at = end + 1
-        return b"".join(out)
+@functools.lru_cache(maxsize=4)
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -75,7 +73,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for b in pieces(batches, 512):
             which, no, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(column(b, "text").to_pylist()):
