@@ -80,20 +80,22 @@ def fingerprint(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     larger one, for whose text the smallest of its rows' stands. A single document follows itself. An empty table
     gives no rows.
 
-    Texts move twice: once by their own id and, as no more than the beginning that the document before needs and the
-    fingerprint's hashes, by that one's.
+    Texts move once by their own id; as both joins want the same rows dealt in the same way, one exchange serves both.
+    The beginning that the document before needs, and the fingerprint's hashes, move once more, by that one's id.
     """
-    base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("n_chars", F.length("text").cast("long"))
-    ids = base.groupBy("key").agg(F.floor(F.max("n_chars") / 2).cast("int").alias("need"), F.count("*").alias("rows"))
+    base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    ids = base.groupBy(key.alias("key")).agg(F.floor(F.max(F.length("text")) / 2).cast("int").alias("need"), F.count("*").alias("rows"))
     chain = written(followers(ids), "followers")
-    after = base.select(F.col("key").alias("next"), F.col("text").alias("whole")).join(chain.select(F.col("key").alias("prev"), "next", "need"), "next")
+    after = base.join(chain.select(F.col("key").alias("prev"), "next", "need"), key == F.col("next")).select("prev", "need", F.col("text").alias("whole"))
     if chain.where("rows > 1").limit(1).count():
-        after = after.groupBy("prev", "next", "need").agg(F.min("whole").alias("whole"))
-    after = winnowed(after, "whole", "next_grams", window).select(F.col("prev").alias("key"), F.substring("whole", F.lit(1), F.col("need")).alias("head"), hashes("next_grams").alias("next_set"))
+        after = after.groupBy("prev", "need").agg(F.min("whole").alias("whole"))
+    after = winnowed(after, "whole", "next_grams", window).select("prev", F.substring("whole", F.lit(1), F.col("need")).alias("head"), hashes("next_grams").alias("next_set"))
+    both = base.join(after, key == F.col("prev")).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    both = base.join(after, "key").withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("head", F.lit(1), half)))
+    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("head", F.lit(1), half)))
     both = both.withColumn("edited_sha256", F.sha2(F.encode("edited", "utf-8"), 256))
     both = winnowed(both, "text", "grams", window)
     both = winnowed(both, "edited", "edited_grams", window)
     both = both.withColumn("own_set", hashes("grams")).withColumn("edited_set", hashes("edited_grams"))
-    return both.select("doc_id", "n_chars", "edited_sha256", as_text("grams").alias("fingerprint"), as_text("edited_grams").alias("edited_fingerprint"), likeness("own_set", "edited_set").alias("near_edited"), likeness("own_set", "next_set").alias("near_next"))
+    return both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_text("grams").alias("fingerprint"), as_text("edited_grams").alias("edited_fingerprint"), likeness("own_set", "edited_set").alias("near_edited"), likeness("own_set", "next_set").alias("near_next"))
