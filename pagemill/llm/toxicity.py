@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.codes import gram_buckets, segments, spaced
 from pagemill.llm.shared import column, pieces
 
-BITS, ORDERS, DIM, SAMPLE, HALF = 17, (3, 4, 5), 8, 1500, 16
+BITS, ORDERS, DIM, SAMPLE, HALF, PRIOR = 17, (3, 4, 5), 8, 1500, 16, 150
 THRESHOLD = 0.7
 
 
@@ -37,47 +37,46 @@ def subwords(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(words)
 
 
-def bag(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their counts."""
-    total = np.zeros(1 << bits, np.int64)
+def bag(text: str, bits: int = BITS) -> np.ndarray:
+    """Distinct buckets of a text."""
+    seen = np.zeros(1 << bits, bool)
     for part in segments(text):
-        total += np.bincount(subwords(part, bits)[0], minlength=1 << bits)
-    held = np.flatnonzero(total)
-    return held.astype(np.int32), total[held].astype(np.float32)
+        seen[subwords(part, bits)[0]] = True
+    return np.flatnonzero(seen).astype(np.int32)
 
 
 @dataclass
 class Model:
-    """weight: what a bucket adds to the logit where its text is this n-gram alone. A text's windows of words are each
-    an average; the highest is the text's, and slope and offset make it a probability."""
+    """weight: what a bucket adds to the logit where it is the text's only one. A window's distinct buckets are averaged,
+    with PRIOR neutral ones so that few don't decide; the highest window is the text's, and slope and offset make it a
+    probability."""
 
     weight: np.ndarray
     bias: float
     slope: float = 1.0
     offset: float = 0.0
 
-    def peak(self, text: str | None, half: int = HALF) -> float:
-        best = -np.inf
-        bits = len(self.weight).bit_length() - 1
-        for part in segments(text or ""):
-            h, word = subwords(part, bits)
-            if not len(h):
-                continue
-            block = word // half
-            n = int(block.max()) + 1
-            sums = np.bincount(block, self.weight[h], n)
-            counts = np.bincount(block, minlength=n).astype(float)
-            if n > 1:
-                sums, counts = sums[1:] + sums[:-1], counts[1:] + counts[:-1]
-            best = max(best, float((sums / np.maximum(counts, 1)).max()))
-        return best + self.bias if best > -np.inf else -np.inf
+    def windows(self, part: str, half: int = HALF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets and windows of a part's n-grams, each of a window once, and each window's logit. Windows are of two
+        halves, and each half but the first and last is in two of them."""
+        h, word = subwords(part, len(self.weight).bit_length() - 1)
+        if not len(h):
+            return h, word, np.zeros(0)
+        block = word // half
+        n = max(1, int(block.max()))
+        both = np.concatenate([block[block < n] * len(self.weight) + h[block < n], (block[block > 0] - 1) * len(self.weight) + h[block > 0]])
+        window, h = np.divmod(np.unique(both), len(self.weight))
+        return h, window, np.bincount(window, self.weight[h], n) / (np.bincount(window, minlength=n) + PRIOR) + self.bias
+
+    def peak(self, text: str | None) -> float:
+        return max((float(self.windows(part)[2].max(initial=-np.inf)) for part in segments(text or "")), default=-np.inf)
 
     def score(self, text: str | None) -> float:
         z = self.peak(text)
         return float(1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -30, 30)))) if z > -np.inf else 0.0
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = 12, batch: int = 64, rate: float = 0.5, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(bags: list[np.ndarray], labels: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = 12, batch: int = 64, rate: float = 0.5, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, softmax weights and biases, by Adagrad over mini-batches, of averaged bags. Classes weigh alike."""
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
@@ -88,9 +87,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: i
         order = rng.permutation(len(labels))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            idx = np.concatenate([bags[i][0] for i in own])
-            doc = np.repeat(np.arange(len(own)), [len(bags[i][0]) for i in own])
-            val = np.concatenate([bags[i][1] / bags[i][1].sum() for i in own])
+            idx = np.concatenate([bags[i] for i in own])
+            size = np.array([len(bags[i]) for i in own])
+            doc, val = np.repeat(np.arange(len(own)), size), np.repeat(1 / (size + PRIOR), size)
             hidden = np.stack([np.bincount(doc, val * e[idx, d], len(own)) for d in range(dim)], 1).astype(np.float32)
             logits = hidden @ w + b
             p = np.exp(logits - logits.max(1, keepdims=True))
@@ -110,21 +109,21 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: i
     return e, w, b
 
 
-def logistic(z: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+def logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60) -> tuple[float, float]:
     """Slope and offset that make z a probability of y, by damped Newton steps with a little ridge."""
     m, s = float(z.mean()), float(z.std()) or 1.0
     x, a = np.stack([(z - m) / s, np.ones_like(z)], 1), np.zeros(2)
-    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (t - p) - 1e-3 * a)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-2 * a)
         a += step / max(1.0, float(np.abs(step).max()))
     return float(a[0] / s), float(a[1] - a[0] * m / s)
 
 
-def sampled(labels: DataFrame, each: int) -> DataFrame | None:
-    """At most `each` rows (doc_id, y, draw) of either label, by a hash of doc_id; None without both labels."""
+def sampled(labels: DataFrame, each: int) -> tuple[DataFrame, dict[int, int]] | None:
+    """At most `each` rows (doc_id, y, draw) of either label, by a hash of doc_id, and how many there are in all; None
+    without both labels."""
     own = labels.where("y in (0, 1)").select(F.col("doc_id").cast("long"), F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("draw"))
     per = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
     if len(per) < 2:
@@ -132,42 +131,44 @@ def sampled(labels: DataFrame, each: int) -> DataFrame | None:
     # Somewhat more than needed is drawn, and the lowest draws are kept.
     near = {y: int(min(1.0, (each + 6 * each**0.5) / n) * (1 << 40)) for y, n in per.items()}
     parts = [own.where((F.col("y") == y) & (F.col("draw") < near[y])).orderBy("draw").limit(each) for y in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]), per
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of docs (doc_id, text) and labels (doc_id, y 0 or 1); None without both labels.
 
     At most `sample` labels of either kind are drawn, by hash, and at most four times that many documents have them; the bags
-    of these, not their texts, come to the driver. Embeddings and softmax are trained together on whole texts; then
-    each text's highest window becomes a probability by logistic regression on the same documents.
+    of these, not their texts, come to the driver. Embeddings and softmax are trained together on the bags of whole
+    texts. A quarter of the sample is kept to make the highest window's logit a probability, either label weighing as
+    in the corpus.
     """
-    if (drawn := sampled(labels, sample)) is None:
+    if (found := sampled(labels, sample)) is None:
         return None
-    rows = [tuple(r) for r in drawn.collect()]  # 2 * sample rows at most
+    rows = [tuple(r) for r in found[0].collect()]  # 2 * sample rows at most
     drawn = F.broadcast(docs.sparkSession.createDataFrame(rows, "doc_id long, y int, draw long"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(drawn, "doc_id").select("text", "y", "draw")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(drawn, "doc_id").select("text", "y", "draw", (F.col("draw") % 4 == 0).alias("kept"))
 
     def to_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 128):
-            found = [bag(t or "") for t in column(b, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(b, "y"), column(b, "draw"), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["y", "draw", "held", "counts"])
+            yield pa.RecordBatch.from_arrays([column(b, "y"), column(b, "draw"), pa.array([bag(t or "").tobytes() for t in column(b, "text").to_pylist()], pa.binary())], ["y", "draw", "held"])
 
-    rows = texts.mapInArrow(to_bags, "y int, draw long, held binary, counts binary").orderBy("draw", "y").limit(4 * sample).toPandas()
+    rows = texts.where("not kept").mapInArrow(to_bags, "y int, draw long, held binary").orderBy("draw", "y").limit(4 * sample).toPandas()
     rows = rows[rows["held"].str.len() > 0].sort_values(["draw", "y", "held"], kind="stable")
     if rows["y"].nunique() < 2:
         return None
-    bags = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(rows["held"], rows["counts"], strict=True)]
-    e, w, b = train(bags, rows["y"].to_numpy().astype(np.int64))
+    e, w, b = train([np.frombuffer(x, np.int32) for x in rows["held"]], rows["y"].to_numpy().astype(np.int64))
     model = Model((e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0]))
 
     def peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in pieces(batches, 128):
             yield pa.RecordBatch.from_arrays([column(p, "y"), column(p, "draw"), pa.array([model.peak(t) for t in column(p, "text").to_pylist()])], ["y", "draw", "z"])
 
-    z = texts.mapInArrow(peaks, "y int, draw long, z double").orderBy("draw", "y").limit(4 * sample).toPandas()
+    z = texts.where("kept").mapInArrow(peaks, "y int, draw long, z double").orderBy("draw", "y").limit(4 * sample).toPandas()
     z = z[np.isfinite(z["z"])].sort_values(["z", "y"])
-    model.slope, model.offset = logistic(z["z"].to_numpy(), z["y"].to_numpy())
+    if z["y"].nunique() == 2:
+        per = found[1]
+        share = z["y"].map({y: per[y] / sum(per.values()) / max(1, (z["y"] == y).sum()) for y in (0, 1)}).to_numpy() * len(z)
+        model.slope, model.offset = logistic(z["z"].to_numpy(), z["y"].to_numpy(), share)
     return model
 
 
