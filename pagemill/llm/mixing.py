@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import WORD, written
+from pagemill.llm.shared import WORD, text_hash, written
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 
@@ -86,11 +86,11 @@ def fit(lengths: Sequence[int], counts: Sequence[int], budget: int) -> np.ndarra
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), text_hash().alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 42) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies), one row per row of docs (doc_id, text, source; other columns
+    """(doc_id, text_hash, source, size, source_size, target, taken, copies), one row per row of docs (doc_id, text, source; other columns
     are ignored): a source's words taken add up to its target to within a few words where its lengths allow it.
 
     Documents are counted by source and length. Of each source every document is taken as often as the target holds
@@ -127,14 +127,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     counts = some.groupBy("tag", "size", "more", bucket).agg(F.count("*").alias("held"))
     up = Window.partitionBy("tag", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = counts.withColumn("rest", F.col("more") - F.sum("held").over(up) + F.col("held")).where("rest > 0 and rest <= held").select("tag", "size", F.col("bucket").alias("edge"), "rest")
-    plan = plan.join(edge, ["tag", "size"], "left")
+    plan = written(plan.join(edge, ["tag", "size"], "left"), "edges")
     per = per.select(tag, "source_size", "target")
     known = dealt.join(F.broadcast(per), "tag").join(plan, ["tag", "size"], "left")
-    known = written(known.select("doc_id", "tag", "size", "source_size", "target", "hash", F.coalesce("base", F.lit(0)).alias("base"), "more", "n", bucket, "edge", "rest"), "known")
+    known = written(known.select("doc_id", "text_hash", "tag", "size", "source_size", "target", "hash", F.coalesce("base", F.lit(0)).alias("base"), "more", "n", bucket, "edge", "rest"), "known")
     at_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
-    order = Window.partitionBy("tag", "size", "bucket").orderBy("hash", "doc_id")
+    order = Window.partitionBy("tag", "size", "bucket").orderBy("hash", "doc_id", "text_hash")
     ranked = known.where(at_edge).withColumn("more_of_it", (F.row_number().over(order) <= F.col("rest")).cast("int"))
     others = known.where(~at_edge).withColumn("more_of_it", F.coalesce((F.col("more") == F.col("n")) | (F.col("bucket") < F.col("edge")), F.lit(False)).cast("int"))
     copies = F.when(F.col("size") > 0, F.col("base") + F.col("more_of_it")).otherwise(0)
     out = ranked.unionByName(others).withColumn("copies", copies.cast("int"))
-    return out.select("doc_id", F.when(F.col("tag") != "-", F.substring("tag", 2, 1 << 30)).alias("source"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.select("doc_id", "text_hash", F.when(F.col("tag") != "-", F.substring("tag", 2, 1 << 30)).alias("source"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

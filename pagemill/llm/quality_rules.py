@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import column, pieces, raw_texts, written
+from pagemill.llm.shared import column, pieces, raw_texts, text_hash, written
 
 #: Whole numbers measured on each text, and the name, numerator, denominator, scale, side and least slack of each rule.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
@@ -49,15 +49,16 @@ def measure(raw: bytes | None) -> tuple[int, ...]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, *COUNTS), one row per row of docs."""
+    """(doc_id, lang, source, text_hash, *COUNTS), one row per row of docs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 512):
             found = np.array([measure(x) for x in raw_texts(b)], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("doc_id", "lang", "source")), *(pa.array(x) for x in np.ascontiguousarray(found.T))], ["doc_id", "lang", "source", *COUNTS])
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in kept), *(pa.array(x) for x in np.ascontiguousarray(found.T))], [*kept, *COUNTS])
 
-    own = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), "text")
-    return own.mapInArrow(count, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    kept = ["doc_id", "lang", "source", "text_hash"]
+    own = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), text_hash().alias("text_hash"), "text")
+    return own.mapInArrow(count, "doc_id long, lang string, source string, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def bucket(v: Column) -> Column:
@@ -90,7 +91,7 @@ def fences(sketch: DataFrame, keys: list[str], spreads: float = SPREADS) -> Data
 
 
 def judge(docs: DataFrame, spreads: float = SPREADS, least: int = LEAST) -> DataFrame:
-    """(doc_id, lang, source, *COUNTS, base_failed, kept, failed_rules), one row per row of docs (doc_id, text, lang,
+    """(doc_id, lang, source, text_hash, *COUNTS, base_failed, kept, failed_rules), one row per row of docs (doc_id, text, lang,
     source; other columns are ignored).
 
     base_failed: under 50 words, or over half of them in three-word windows that recur in the text. Every other
@@ -119,4 +120,4 @@ def judge(docs: DataFrame, spreads: float = SPREADS, least: int = LEAST) -> Data
             bad = bad | (v < F.col(f"low_{name}"))
         broken.append(F.when(bad & ~F.col("base_failed"), F.lit(name)))
     joined = joined.withColumn("failed_rules", F.array_compact(F.array(*broken)))
-    return joined.select("doc_id", "lang", "source", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")
+    return joined.select("doc_id", "lang", "source", "text_hash", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")

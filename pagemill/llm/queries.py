@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import langid, licenses, mixing, packing, quality, quality_rules, simhash, toxicity, winnowing
+from pagemill.llm import langid, licenses, mixing, packing, quality, quality_rules, simhash, suffix_dedup, toxicity, winnowing
 from pagemill.llm.shared import crc_mod, documents
 
 
@@ -27,6 +27,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), labels).select("doc_id", fold(4, 2).alias("held_out"), "score", "predicted")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = documents(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1).select("doc_id", F.col("toxic").alias("y"))
@@ -60,6 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op5_mixing": op5_mixing,

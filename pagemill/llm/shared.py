@@ -62,6 +62,11 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
+def text_hash(text: Column | str = "text") -> Column:
+    """With doc_id, what tells rows apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def crc_mod(column: Column | str, n: int) -> Column:
     """crc32 of the number written out in decimal, modulo n."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % n

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import connected_components
-from pagemill.llm.shared import column, pieces, raw_texts, runs, starts_of, written
+from pagemill.llm.shared import column, pieces, raw_texts, runs, starts_of, text_hash, written
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 BYTE = (np.arange(8, dtype=np.int64) * 256)[None, :]
@@ -37,14 +37,14 @@ def fingerprint(raw: bytes | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long): the fingerprint's 64 bits as a signed number, one row per input row."""
+    """(doc_id, text_hash, fp long): the fingerprint's 64 bits as a signed number, one row per input row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 512):
             fps = np.array([fingerprint(x, shingle, seed) for x in raw_texts(b)], np.uint64)
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "text_hash"), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), "text").mapInArrow(hashed, "doc_id long, text_hash long, fp long")
 
 
 def _offsets(blocks: int, radius: int) -> list[tuple[int, ...]]:
@@ -114,7 +114,7 @@ def links(nodes: DataFrame, radius: int = 2, blocks: int = 4, tile: int = 2048)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id), one row per row of docs (doc_id, text; other columns are ignored).
+    """(doc_id, text_hash, fp, component_id), one row per row of docs (doc_id, text; other columns are ignored).
 
     Fingerprints within the radius are linked, and so what they reach; component_id is the smallest doc_id of
     the component. Null, empty and blank texts have fingerprint 0 and are linked with each other like any other.
@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: in
     nodes = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     found = connected_components(links(nodes, radius))
     of = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+    return fps.join(of, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):
