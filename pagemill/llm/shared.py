@@ -37,14 +37,38 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Removes an execution's shuffle files at its end; what written() wrote needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Rows written once as a Parquet table in the shared folder and read back: cuts the lineage so that
-    a lost executor costs no more than the tasks it ran. drop_written() or the driver's end removes it."""
+    a lost executor costs no more than the tasks it ran, and frees the shuffles it took. forget(), drop_written() or the
+    driver's end removes the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/pagemill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing will read again."""
+    for t in tables:
+        _written.remove((t.sparkSession, t._written_at))
+        _delete(t.sparkSession, t._written_at)
 
 
 def drop_written() -> None:
@@ -52,9 +76,7 @@ def drop_written() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001, PERF203  the session is gone, and its JVM with it
             continue
 

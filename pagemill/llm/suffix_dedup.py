@@ -9,13 +9,14 @@ Each record stands for the strings of 400 bytes that hold an anchor at one of a
 It has a core, which all of these strings hold, and a hull, which holds them all. Equal hulls at two places: all
 these strings are repeated. A core found nowhere else: none is. Otherwise the range of distances is split and
 the parts are looked at alone, until a range is one distance, where core and hull are one string.
-For each of the three levels suffixes, that is records, are range-partitioned by leading bytes at sampled splitters,
+On each of these levels suffixes, that is records, are range-partitioned by leading bytes at sampled splitters,
 buckets are sorted by multikey quicksort, and neighbours are compared, across the bounds of buckets too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import column, pieces, raw_texts, text_hash, written
+from pagemill.llm.shared import column, forget, pieces, raw_texts, text_hash, written
 
 LOW = np.uint64((1 << 20) - 1)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -78,17 +79,17 @@ def window_minima(v: np.ndarray, window: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Shape:
-    """length: of the strings. gram: of an anchor, a power of two. width: distances in a part. stretch: bytes of a text that
-    are looked at together. per_bucket: records sorted together."""
+    """length: of the strings. gram: of an anchor, a power of two. widths: distances in a part, level by level, each a multiple
+    of the next, down to 1. stretch: bytes of a text that are looked at together. per_bucket: records sorted together."""
 
     length: int = 400
     gram: int = 128
-    width: int = 35
+    widths: tuple[int, ...] = (42, 7, 1)
     stretch: int = 1 << 19
     per_bucket: int = 400_000
 
     def __post_init__(self) -> None:
-        if self.gram & self.gram - 1 or self.gram < 8 or not 3 * self.gram <= self.length <= 4 * self.gram or self.width > self.length - 2 * self.gram + 1 or self.stretch + 3 * self.length >= 1 << 20:
+        if self.gram & self.gram - 1 or self.gram < 8 or not 3 * self.gram <= self.length <= 4 * self.gram or self.length >= 1 << 10 or self.widths[0] > self.length - 2 * self.gram + 1 or self.widths[-1] != 1 or any(a % b for a, b in itertools.pairwise(self.widths)) or self.stretch + 3 * self.length >= 1 << 20:
             raise ValueError(f"hashes of two grams don't cover what they must: {self}")
 
     @property
@@ -118,7 +119,7 @@ def units(texts: list[bytes], shape: Shape) -> Iterator[Unit]:
 
 
 def anchors(group: list[Unit], shape: Shape) -> tuple[np.ndarray, ...]:
-    """(unit, position, first and end of the hull in the text, lead, core, hull) of each anchor of the units."""
+    """(unit, position in the text, reach of the hull, lead, core, hull) of each anchor of the units."""
     length, gram, span = shape.length, shape.gram, shape.span
     data = np.frombuffer(b"".join(u.data for u in group), np.uint8)
     begins = np.cumsum([0] + [len(u.data) for u in group])
@@ -134,17 +135,22 @@ def anchors(group: list[Unit], shape: Shape) -> tuple[np.ndarray, ...]:
     low, high = np.maximum(at - span, begins[unit]), np.minimum(at + length, begins[unit + 1])
     hull = mixed(large[low], large[np.minimum(low + 2 * gram, high - 2 * gram)], large[high - 2 * gram], at - low, high - at)
     shift = np.array([u.base for u in group])[unit] - begins[unit]
-    return unit, at + shift, low + shift, high + shift, leading(data, at), small[at], hull
+    return unit, at + shift, reach(at - low, high - at), leading(data, at), small[at], hull
 
 
-ID = "doc_id long, text_hash long"
-RECORD = f"lead long, core long, hull long, {ID}, pos long, low long, high long, part int"
-NAMES = ["lead", "core", "hull", "doc_id", "text_hash", "pos", "low", "high", "part"]
+def reach(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bytes of a hull before and from its anchor, as one number."""
+    return (left << 10 | right).astype(np.int32)
 
 
-def _batch(lead, core, hull, doc, text, pos, low, high, part) -> pa.RecordBatch:
-    signed = [np.ascontiguousarray(x).view(np.int64) for x in (lead, core, hull)]
-    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in signed), pa.array(doc), pa.array(text), pa.array(pos), pa.array(low), pa.array(high), pa.array(np.asarray(part).astype(np.int32))], NAMES)
+LOW_END, HIGH_END = "pos - shiftright(reach, 10)", "pos + (reach & 1023)"
+KEYS = ["lead", "core", "hull"]
+PLACE = ["doc_id", "text_hash", "pos"]
+
+
+def _batch(keys: tuple[np.ndarray, ...], ids: dict[str, np.ndarray], reaches: np.ndarray) -> pa.RecordBatch:
+    columns = {c: np.ascontiguousarray(k).view(np.int64) for c, k in zip(KEYS, keys, strict=True)} | ids | {"reach": reaches}
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns))
 
 
 def anchored(texts: DataFrame, shape: Shape) -> DataFrame:
@@ -157,18 +163,19 @@ def anchored(texts: DataFrame, shape: Shape) -> DataFrame:
             group, size, seen = [], 0, {}
             for u in [*units(raw, shape), None]:
                 if group and (u is None or size + len(u.data) > shape.stretch + 3 * shape.length or u.row == group[-1].row):
-                    of, pos, low, high, *keys = anchors(group, shape)
+                    of, pos, reaches, *keys = anchors(group, shape)
                     row = np.array([x.row for x in group])[of]
                     fresh = pos > np.array([seen.get(r, -1) for r in row], np.int64)  # a stretch may end with the next one's first anchors
                     for r, p in zip(row[fresh].tolist(), pos[fresh].tolist(), strict=True):
                         seen[r] = p
-                    yield _batch(*(k[fresh] for k in keys), doc[row[fresh]], text[row[fresh]], pos[fresh], low[fresh], high[fresh], np.zeros(fresh.sum()))
+                    row = row[fresh]
+                    yield _batch(tuple(k[fresh] for k in keys), {"doc_id": doc[row], "text_hash": text[row], "pos": pos[fresh]}, reaches[fresh])
                     group, size = [], 0
                 if u:
                     group.append(u)
                     size += len(u.data)
 
-    return texts.select("doc_id", "text_hash", "text").mapInArrow(find, RECORD)
+    return texts.select("doc_id", "text_hash", "text").mapInArrow(find, "lead long, core long, hull long, doc_id long, text_hash long, pos long, reach int")
 
 
 def multikey_order(*keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -197,14 +204,17 @@ def multikey_order(*keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def classify(records: DataFrame, name: str, per_bucket: int) -> DataFrame:
-    """Of records (RECORD), those whose core is found twice, with `same` (the hull is, too) and `open` (to be split further:
+    """Of records (lead, core, hull, ids, reach), those whose core is found twice, with `same` (the hull is, too) and `open` (to be split further:
     the core has several hulls, and this is a hull found once or stands for the equal ones).
 
     Records go to buckets between sampled splitters of lead, core, hull and, so that equal ones may be split over buckets, the
-    rest. A bucket's first and last runs of equal cores may go on in others; their counts are added up apart.
+    rest. A bucket's first and last runs of equal cores or hulls may go on in the next buckets; what all buckets have of
+    these is put together and compared apart.
     """
     buckets = max(2, -(-records.count() // per_bucket))
-    dealt = records.repartitionByRange(buckets, "lead", "core", "hull", "doc_id", "text_hash", "pos")
+    names = records.columns
+    dealt = records.repartitionByRange(buckets, *names)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema)
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -215,28 +225,27 @@ def classify(records: DataFrame, name: str, per_bucket: int) -> DataFrame:
         order, (_, cores, hulls) = multikey_order(*(table.column(c).to_numpy() for c in ("lead", "core", "hull")))
         core, hull = np.cumsum(cores) - 1, np.cumsum(hulls) - 1
         in_core, in_hull = np.bincount(core)[core], np.bincount(hull)[hull]
-        several = np.bincount(core, hulls)[core] > 1
-        edge = (core == 0) | (core == core[-1])
-        kept = (in_core > 1) | edge
-        same = in_hull > 1
-        open_ = several & (~same | hulls)
+        core_edge = (core == 0) | (core == core[-1])
+        kept = (in_core > 1) | core_edge
+        flags = {"same": in_hull > 1, "several": np.bincount(core, hulls)[core] > 1, "first": hulls, "core_edge": core_edge, "hull_edge": (hull == 0) | (hull == hull[-1])}
         out = table.take(pa.array(order[kept]))
-        for c, v in (("same", same), ("open", open_), ("first", hulls), ("edge", edge)):
+        for c, v in flags.items():
             out = out.append_column(c, pa.array(v[kept]))
         yield from out.to_batches(max_chunksize=20_000)
 
-    sorted_ = written(dealt.mapInArrow(bucket, f"{RECORD}, same boolean, open boolean, first boolean, edge boolean"), name)
-    edges = sorted_.where("edge")
-    per_hull = edges.groupBy("lead", "core", "hull").agg(F.count("*").alias("n"))
-    per_core = per_hull.groupBy("lead", "core").agg(F.sum("n").alias("all"), F.count("*").alias("hulls")).where("`all` > 1")
-    # At most two cores of each bucket are in per_core.
-    known = edges.join(per_hull, ["lead", "core", "hull"]).join(F.broadcast(per_core), ["lead", "core"])
-    known = known.withColumn("same", F.col("n") > 1).withColumn("open", (F.col("hulls") > 1) & ((F.col("n") == 1) | F.col("first")))
-    return sorted_.where("not edge").select(*NAMES, "same", "open").unionByName(known.select(*NAMES, "same", "open")).where("same or open")
+    sorted_ = written(dealt.mapInArrow(bucket, f"{schema}, same boolean, several boolean, first boolean, core_edge boolean, hull_edge boolean"), name)
+    # At most two cores and two hulls of each bucket may go on in the next: two rows a bucket are broadcast of either.
+    cores = sorted_.where("core_edge").groupBy("lead", "core").agg((F.min("hull") != F.max("hull")).alias("on_several"))
+    hulls = sorted_.where("hull_edge").groupBy("lead", "core", "hull").agg((F.count("*") > 1).alias("on_same"))
+    known = sorted_.join(F.broadcast(cores.where("on_several")), ["lead", "core"], "left").join(F.broadcast(hulls.where("on_same")), ["lead", "core", "hull"], "left")
+    same, several = F.col("same") | F.coalesce("on_same", F.lit(False)), F.col("several") | F.coalesce("on_several", F.lit(False))
+    known = known.select(*names, same.alias("same"), (several & (~same | F.col("first"))).alias("open"))
+    return known.where("same or open")
 
 
 def contexts(texts: DataFrame, found: DataFrame, shape: Shape) -> DataFrame:
-    """(doc_id, text_hash, pos, left, right, around): of each open record the bytes about its anchor, filled up to a fixed width."""
+    """(place, doc_id, text_hash, pos, left, right, around): of each open record the bytes about its anchor, filled up to a
+    fixed width."""
     length, span = shape.length, shape.span
     wanted = found.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("places"))  # the anchors of one text
 
@@ -255,50 +264,56 @@ def contexts(texts: DataFrame, found: DataFrame, shape: Shape) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(b, "doc_id").take(own), column(b, "text_hash").take(own), pa.array(pos, pa.int64()), pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(around, pa.binary())], ["doc_id", "text_hash", "pos", "left", "right", "around"])
 
     # Equal rows have equal texts: one of them tells what is about their anchors, but each is a place of its own.
-    return texts.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "places").mapInArrow(cut, f"{ID}, pos long, left int, right int, around binary")
+    return texts.join(wanted, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "places").mapInArrow(cut, "doc_id long, text_hash long, pos long, left int, right int, around binary").withColumn("place", F.monotonically_increasing_id())
 
 
-def split(around: DataFrame, single: bool, shape: Shape) -> DataFrame:
-    """Records of the parts of `width` distances of each context or, if single, of each distance in its open parts, an array."""
-    length, gram, span, width = shape.length, shape.gram, shape.span, shape.width
+def split(around: DataFrame, level: int, shape: Shape) -> DataFrame:
+    """Records of a level's parts of each context, or past the first level of its open parts on the level before, an array."""
+    length, gram, span, width = shape.length, shape.gram, shape.span, shape.widths[level]
+    outer = shape.widths[level - 1] if level else width * -(-(span + 1) // width)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 256):
             data = np.frombuffer(b"".join(column(b, "around").to_pylist()), np.uint8).reshape(b.num_rows, span + length)
             (h,) = hashes(data, (2 * gram,))
-            doc, text, pos, left, right = (column(b, c).to_numpy() for c in ("doc_id", "text_hash", "pos", "left", "right"))
-            open_ = column(b, "parts").to_pylist() if single else None
             flat, wide = data.ravel(), span + length
-            for j, o1 in enumerate(range(0, span + 1, width)):
-                o2 = min(span, o1 + width - 1)
-                v1, v2 = np.maximum(o1, length - right), np.minimum(o2, left)
-                r = np.flatnonzero((v1 <= v2) & (np.array([j in x for x in open_]) if single else True))
-                if not r.size:
-                    continue
-                core = mixed(h[r, span - o1], h[r, span + length - o2 - 2 * gram], j)
-                if not single:
-                    hull = mixed(h[r, span - v2[r]], h[r, span + length - v1[r] - 2 * gram], v1[r], v2[r])
-                    yield _batch(leading(flat, r * wide + span - o1), core, hull, doc[r], text[r], pos[r], pos[r] - v2[r], pos[r] + length - v1[r], np.full(r.size, j))
-                    continue
-                n = v2[r] - v1[r] + 1
-                own = np.repeat(np.arange(r.size), n)
-                o = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + v1[r][own]
-                k = r[own]
-                hull = mixed(h[k, span - o], h[k, span - o + length - 2 * gram], o)
-                yield _batch(leading(flat, k * wide + span - o), core[own], hull, doc[k], text[k], pos[k], pos[k] - o, pos[k] + length - o, np.full(len(own), j))
-
-    return around.mapInArrow(parts, RECORD)
+            place, left, right = (column(b, c).to_numpy() for c in ("place", "left", "right"))
+            open_ = column(b, "parts").to_pylist() if level else [[0]] * b.num_rows
+            row = np.repeat(np.arange(b.num_rows), [len(x) for x in open_])
+            begin = np.array([p for x in open_ for p in x], np.int64) * outer
+            for o1 in range(0, outer, width):
+                o1 = begin + o1  # noqa: PLW2901
+                o2 = np.minimum(span, o1 + width - 1)
+                v1, v2 = np.maximum(o1, length - right[row]), np.minimum(o2, left[row])
+                ok = v1 <= v2
+                r, o1, o2, v1, v2 = (x[ok] for x in (row, o1, o2, v1, v2))  # noqa: PLW2901
+                core = mixed(h[r, span - o1], h[r, span + length - o2 - 2 * gram], o1)
+                hull = mixed(h[r, span - v2], h[r, span + length - v1 - 2 * gram], v1, v2)
+                yield _batch((leading(flat, r * wide + span - o1), core, hull), {"place": place[r], "part": (o1 // width).astype(np.int32)}, reach(v2, length - v1))
+
+    return around.mapInArrow(parts, "lead long, core long, hull long, place long, part int, reach int")
 
 
 def repeated(texts: DataFrame, shape: Shape = Shape()) -> DataFrame:  # noqa: B008
-    """(doc_id, text_hash, low, high): byte ranges of texts (doc_id, text_hash, text) that together are all strings of
-    the length found at two places or more. Ranges may overlap."""
-    first = classify(written(anchored(texts, shape), "anchors"), "suffixes", shape.per_bucket)
-    around = written(contexts(texts, first.where("open"), shape), "contexts")
-    second = classify(written(split(around, False, shape), "parts"), "part_suffixes", shape.per_bucket)
-    open_ = second.where("open").groupBy("doc_id", "text_hash", "pos").agg(F.collect_set("part").alias("parts"))
-    third = classify(written(split(around.join(open_, ["doc_id", "text_hash", "pos"]), True, shape), "strings"), "string_suffixes", shape.per_bucket)
-    return first.where("same").unionByName(second.where("same")).unionByName(third.where("same")).select("doc_id", "text_hash", "low", "high")
+    """(doc_id, text_hash, spans array<struct<low, high>>): byte ranges of texts (doc_id, text_hash, text) that together are all
+    strings of the length found at two places or more. Ranges may overlap."""
+    records = written(anchored(texts, shape), "anchors")
+    found = classify(records, "suffixes", shape.per_bucket)
+    forget(records)
+    around = written(contexts(texts, found.where("open"), shape), "contexts")
+    spans = found.where("same").select(*PLACE, "reach")
+    inner, wanted = None, around
+    for level in range(len(shape.widths)):
+        records = written(split(wanted, level, shape), f"level{level}")
+        found = classify(records, f"level{level}-suffixes", shape.per_bucket)
+        forget(records)
+        same = found.where("same").select("place", "reach")
+        inner = same if inner is None else inner.unionByName(same)
+        if level < len(shape.widths) - 1:
+            wanted = around.join(found.where("open").groupBy("place").agg(F.collect_set("part").alias("parts")), "place")
+    spans = spans.unionByName(inner.join(around.select("place", *PLACE), "place").select(*PLACE, "reach"))
+    each = spans.select("doc_id", "text_hash", F.struct(F.expr(LOW_END).alias("low"), F.expr(HIGH_END).alias("high")).alias("span"))
+    return written(each.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans")), "spans")
 
 
 def cut_out(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -328,8 +343,7 @@ def dedup(docs: DataFrame, shape: Shape = Shape(), with_text: bool = False, carr
     """
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text.alias("text"), text_hash().alias("text_hash"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
-    spans = repeated(texts, shape).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("spans"))
-    joined = texts.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "carried", "text", F.col("spans.low").alias("low"), F.col("spans.high").alias("high"))
+    joined = texts.join(repeated(texts, shape), ["doc_id", "text_hash"], "left").select("doc_id", "carried", "text", F.col("spans.low").alias("low"), F.col("spans.high").alias("high"))
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 if with_text else 4]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
 

@@ -7,7 +7,7 @@ import pytest
 
 from pagemill.llm import suffix_dedup as sd
 
-SMALL = sd.Shape(length=28, gram=8, width=5, stretch=100, per_bucket=60)
+SMALL = sd.Shape(length=28, gram=8, widths=(6, 2, 1), stretch=100, per_bucket=60)
 
 
 def plain(texts, length):
