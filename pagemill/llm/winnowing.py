@@ -56,18 +56,22 @@ def likeness(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b))))
 
 
-def followers(ids: DataFrame) -> DataFrame:
-    """ids (key long, ..), each key once -> with next, the next larger key, or the smallest after the largest.
+def ranged(ids: DataFrame) -> DataFrame:
+    """ids (key long, ..), each key once, with range: keys of a range lie between those of others, and are in one partition."""
+    return written(ids.repartitionByRange("key").withColumn("range", F.spark_partition_id()), "ranges")
 
-    Keys are dealt to ranges; within a range the next key is a window function, and only the least key of each
-    range, a row per partition, meets in one place.
+
+def followers(in_ranges: DataFrame) -> DataFrame:
+    """ranged() keys with next, the next larger key, or the smallest after the largest.
+
+    Within a range the next key is a window function, and only the least key of each range, a row per partition, meets
+    in one place.
     """
-    ranged = written(ids.repartitionByRange("key").withColumn("range", F.spark_partition_id()), "ranges")
-    first = ranged.groupBy("range").agg(F.min("key").alias("first"))
+    first = in_ranges.groupBy("range").agg(F.min("key").alias("first"))
     order = Window.orderBy("first")
     after = first.select("range", F.coalesce(F.lead("first").over(order), F.min("first").over(order)).alias("after"))
     inside = F.lead("key").over(Window.partitionBy("range").orderBy("key"))
-    return ranged.withColumn("next", inside).join(F.broadcast(after), "range").withColumn("next", F.coalesce("next", "after")).drop("range", "after")
+    return in_ranges.withColumn("next", inside).join(F.broadcast(after), "range").withColumn("next", F.coalesce("next", "after")).drop("range", "after")
 
 
 def fingerprint(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -86,9 +90,9 @@ def fingerprint(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     ids = base.groupBy(key.alias("key")).agg(F.floor(F.max(F.length("text")) / 2).cast("int").alias("need"), F.count("*").alias("rows"))
-    chain = written(followers(ids), "followers")
-    after = base.join(chain.select(F.col("key").alias("prev"), "next", "need"), key == F.col("next")).select("prev", "need", F.col("text").alias("whole"))
-    if chain.where("rows > 1").limit(1).count():
+    ids = ranged(ids)
+    after = base.join(followers(ids).select(F.col("key").alias("prev"), "next", "need"), key == F.col("next")).select("prev", "need", F.col("text").alias("whole"))
+    if ids.where("rows > 1").limit(1).count():
         after = after.groupBy("prev", "need").agg(F.min("whole").alias("whole"))
     after = winnowed(after, "whole", "next_grams", window).select("prev", F.substring("whole", F.lit(1), F.col("need")).alias("head"), hashes("next_grams").alias("next_set"))
     both = base.join(after, key == F.col("prev")).withColumn("n_chars", F.length("text"))
