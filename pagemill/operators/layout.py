@@ -5,6 +5,8 @@ All joins here are keyed by page, with a range predicate on top; a page has tens
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -160,48 +162,45 @@ def figure_groups(flagged: DataFrame) -> DataFrame:
     return own.withColumn("_new", new).withColumn("group_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
 
 
-def _regions_of(page: pd.DataFrame) -> list[tuple[float, float]]:
-    """The figure regions of one page's flagged lines, from top to bottom of their groups."""
-    if len(page) < 2:
+_FIELDS = ("block_no", "line_no", "left", "top", "right", "bottom", "characters", "saturated", "coloured", "ruled", "laid_out", "labelled", "group_no", "context", "typical", "page_width", "page_height")
+
+
+def _regions_of(v: dict[str, np.ndarray]) -> list[tuple[float, float]]:
+    """The figure regions of one page's flagged lines, in the order of their groups."""
+    if len(v["top"]) < 2:
         return []
-    tall, wide, typical = float(page["page_height"].iloc[0]), float(page["page_width"].iloc[0]), float(page["typical"].iloc[0])
-    top, bottom = page["top"].to_numpy(), page["bottom"].to_numpy()
-    centre, own_width = (top + bottom) / 2, (page["right"] - page["left"]).to_numpy()
-    short = (page["characters"].to_numpy() <= 40) & (own_width <= 0.4 * wide)
-    body = (page["characters"].to_numpy() >= 18) & (own_width >= 0.3 * wide) & (page["saturated"].to_numpy() < 0.005)
-    shows = page["text"].str.contains("画面|イメージ", regex=True).to_numpy()
+    tall, wide, typical = float(v["page_height"][0]), float(v["page_width"][0]), float(v["typical"][0])
+    top, bottom, across = v["top"], v["bottom"], v["right"] - v["left"]
+    centre = (top + bottom) / 2
+    short = (v["characters"] <= 40) & (across <= 0.4 * wide)
+    body = (v["characters"] >= 18) & (across >= 0.3 * wide) & (v["saturated"] < 0.005)
+    # A kind of flag, how many lines of a group must have it, and how many typical heights the region must then span.
+    kinds = (("coloured", 2, 2.5), ("ruled", 3, 3.0), ("laid_out", 3, 4.0), ("labelled", 2, 2.5))
     found = []
-    for _, group in page[page["group_no"] >= 0].groupby("group_no"):
-        above = group["top"].min() - bottom
-        context = bool((shows & (above >= 0) & (above <= 0.35 * tall)).any())
-        count = {k: int(group[k].sum()) for k in ("coloured", "ruled", "laid_out", "labelled")}
-        # What a group needs of a kind, and how many typical heights it must then span; the first kind that suffices tells
-        # which lines make the region, any kind that suffices may give the span.
-        kinds = [("coloured", count["coloured"] >= 2, 2.5), ("ruled", count["ruled"] >= 3, 3), ("laid_out", count["laid_out"] >= 3, 4), ("labelled", count["labelled"] >= 2 and context, 2.5)]
-        kind = next((k for k, ok, _ in kinds if ok), None)
-        if kind:
-            part = group[group[kind]]
-            low, high = float(part["top"].min()), float(part["bottom"].max())
-            if not any(ok and high - low >= n * typical for _, ok, n in kinds):
-                continue
-        elif count["coloured"] == 1 and len(group) == 1:
-            line = group.iloc[0]
-            if line["saturated"] < 0.05 or line["characters"] > 40 or line["right"] - line["left"] > 0.4 * wide:
-                continue
-            low, high = float(line["top"]), float(line["bottom"])
-        else:
+    for g in range(int(v["group_no"].max()) + 1):
+        own = v["group_no"] == g
+        above = top[own].min() - bottom
+        shown = bool((v["context"] & (above >= 0) & (above <= 0.35 * tall)).any())
+        enough = {k: int((v[k] & own).sum()) >= n and (k != "labelled" or shown) for k, n, _ in kinds}
+        lead = next((k for k, *_ in kinds if enough[k]), None)
+        single = not lead and own.sum() == 1 and bool((own & v["coloured"] & (v["saturated"] >= 0.05) & short).any())
+        if not lead and not single:
+            continue
+        part = own & v[lead] if lead else own
+        low, high = float(top[part].min()), float(bottom[part].max())
+        if lead and high - low < typical * min(n for k, _, n in kinds if enough[k]):
             continue
         low, high = max(0.0, low - typical), min(tall, high + typical)
-        for _ in range(2):  # short labels near by are taken in, in the order of the lines, each from the bounds so far
-            grown = False
+        for _ in range(2):  # near short labels are taken in, in the order of the lines, each held against the bounds so far
+            before = low, high
             for i in np.flatnonzero(short):
                 if low - 2 * typical <= centre[i] < low:
-                    low, grown = max(0.0, float(top[i]) - 0.5 * typical), True
+                    low = max(0.0, float(top[i]) - 0.5 * typical)
                 elif high < centre[i] <= high + 2 * typical:
-                    high, grown = min(tall, float(bottom[i]) + 0.5 * typical), True
-            if not grown:
+                    high = min(tall, float(bottom[i]) + 0.5 * typical)
+            if before == (low, high):
                 break
-        if int((body & ((centre < low) | (centre > high))).sum()) >= 2:
+        if (body & ((centre < low) | (centre > high))).sum() >= 2:
             found.append((low, high))
     return found
 
@@ -209,18 +208,23 @@ def _regions_of(page: pd.DataFrame) -> list[tuple[float, float]]:
 def figure_regions(flagged: DataFrame) -> DataFrame:
     """(book, page, region_no, r_top, r_bottom): vertical stretches of charts, diagrams or screens among flagged lines.
 
-    Taking in labels moves the bounds that the next label is held against, so each page is one fold.
+    Taking in labels moves the bounds that the next label is held against, so each page is one fold, over the page's
+    lines as one array; pages come in Arrow batches.
     """
-    groups = figure_groups(flagged).select(*LINE, "group_no")
-    own = flagged.join(groups, LINE, "left").withColumn("group_no", F.coalesce("group_no", F.lit(-1)).cast("int"))
-
-    def regions(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block_no", "line_no"], kind="stable")
-        rows = [(pdf["book"].iloc[0], pdf["page"].iloc[0], i, low, high) for i, (low, high) in enumerate(_regions_of(pdf))]
-        return pd.DataFrame(rows, columns=["book", "page", "region_no", "r_top", "r_bottom"])
+    groups = figure_groups(flagged).select(*LINE, F.col("group_no").cast("int").alias("group_no"))
+    own = flagged.join(groups, LINE, "left").withColumn("group_no", F.coalesce("group_no", F.lit(-1))).withColumn("context", F.col("text").rlike("画面|イメージ"))
+    whole = own.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*_FIELDS))).alias("lines"))
+
+    def regions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for book, page, every in zip(pdf["book"], pdf["page"], pdf["lines"], strict=True):
+                v = {c: np.array([x[c] for x in every]) for c in _FIELDS}
+                rows += [(book, page, i, low, high) for i, (low, high) in enumerate(_regions_of(v))]
+            yield pd.DataFrame(rows, columns=["book", "page", "region_no", "r_top", "r_bottom"])
 
     kinds = {f.name: f.dataType.simpleString() for f in flagged.schema}
-    return own.groupBy(*PAGE).applyInPandas(regions, f"book {kinds['book']}, page {kinds['page']}, region_no int, r_top double, r_bottom double")
+    return whole.mapInPandas(regions, f"book {kinds['book']}, page {kinds['page']}, region_no int, r_top double, r_bottom double")
 
 
 def outside_figures(lines: DataFrame, regions: DataFrame) -> DataFrame:

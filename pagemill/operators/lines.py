@@ -6,6 +6,8 @@ box and confidence. Windows are over the lines of one page; a page's lines meet
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,21 +144,26 @@ def merge_dedupe(lines: DataFrame) -> DataFrame:
     A dropped line suppresses none, so the order decides; each page is one fold over its lines.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        import re
-        import unicodedata
-
-        kept, rows = [], []
-        for i, text in zip(pdf["place"], pdf["text"], strict=True):
-            key = re.sub(r"\W", "", unicodedata.normalize("NFKC", text or ""))
-            if key and not any(key == k or len(key) >= 6 and (key in k or k in key) for k in kept):
-                kept.append(key)
-                rows.append(i)
-        return pdf[pdf["place"].isin(rows)]
-
-    own = lines.select(*PAGE, "place", "text")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
-    return own.groupBy(*PAGE).applyInPandas(lambda pdf: fold(pdf.sort_values("place", kind="stable")), schema)
+    import re
+    import unicodedata
+
+    def keep(every: list) -> list[tuple]:
+        keys, kept = [], []
+        for x in every:
+            key = re.sub(r"\W", "", unicodedata.normalize("NFKC", x["text"] or ""))
+            if key and not any(key == k or len(key) >= 6 and (key in k or k in key) for k in keys):
+                keys.append(key)
+                kept.append((x["place"], x["text"]))
+        return kept
+
+    def pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(book, page, *x) for book, page, every in zip(pdf["book"], pdf["page"], pdf["lines"], strict=True) for x in keep(every)]
+            yield pd.DataFrame(rows, columns=[*PAGE, "place", "text"])
+
+    whole = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("lines"))
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    return whole.mapInPandas(pages, f"book {kinds['book']}, page {kinds['page']}, place {kinds['place']}, text string")
 
 
 def merge_words(lines: DataFrame) -> DataFrame:
