@@ -63,9 +63,13 @@ class Model:
         if not len(h):
             return h, word, np.zeros(0)
         block = word // half
-        n = max(1, int(block.max()))
-        both = np.concatenate([block[block < n] * len(self.weight) + h[block < n], (block[block > 0] - 1) * len(self.weight) + h[block > 0]])
-        window, h = np.divmod(np.unique(both), len(self.weight))
+        n, bits = max(1, int(block.max())), len(self.weight).bit_length() - 1
+        key = (block << bits | h).astype(np.uint32 if n < 1 << (31 - bits) else np.uint64)
+        one = np.asarray(1 << bits, key.dtype)
+        both = np.concatenate([key[block < n], key[block > 0] - one])
+        both.sort()
+        both = both[np.append(True, both[1:] != both[:-1])]
+        window, h = (both >> bits).astype(np.int64), (both & (one - 1)).astype(np.int64)
         return h, window, np.bincount(window, self.weight[h], n) / (np.bincount(window, minlength=n) + PRIOR) + self.bias
 
     def peak(self, text: str | None) -> float:
