@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.book_rules import BOOK_CONTEXT, BOOK_CORRECTIONS, PROFILE, Context
 from pagemill.functions.rules import CORRECTIONS, LINE_REVIEWS, PAGE_REVIEWS, Correction, Review, active, expand_profiles
 from pagemill.functions.text import JAPANESE, KNOWN_ACRONYMS, squeeze
 from pagemill.operators.lines import by_page, mean_confidence
@@ -17,11 +18,11 @@ SPLIT_TITLE, CONTINUES = "LLM-as-a-", r"(?U)^J\s+udge\)\z"
 
 def as_map(names: list[tuple[str, Column]]) -> Column:
     """name -> count of those above zero, by name."""
-    entries = F.filter(F.array(*(F.struct(F.lit(n).alias("key"), c.cast("int").alias("value")) for n, c in names)), lambda e: e["value"] > 0)
+    entries = F.filter(F.array(*(F.struct(F.lit(n).alias("key"), F.coalesce(c.cast("int"), F.lit(0)).alias("value")) for n, c in names)), lambda e: e["value"] > 0)
     return F.map_from_entries(F.array_sort(entries))
 
 
-def correct(df: DataFrame, rules: Iterable[Correction] = CORRECTIONS, profiles: Iterable[str] | None = None, text: str = "text", counts: str = "corrections") -> DataFrame:
+def correct(df: DataFrame, rules: Iterable[Correction] = (*CORRECTIONS, *BOOK_CORRECTIONS), profiles: Iterable[str] | None = None, text: str = "text", counts: str = "corrections") -> DataFrame:
     """df with text corrected by the active rules in order, each seeing what those before left, and how often each did.
 
     Each rule is a projection of its own, so an intermediate text is computed once though it is both counted and replaced.
@@ -39,13 +40,39 @@ def correct(df: DataFrame, rules: Iterable[Correction] = CORRECTIONS, profiles:
     return df.withColumn(counts, as_map(list(totals.items()))).drop(*(c for _, c in names))
 
 
-def correct_lines(lines: DataFrame, rules: Iterable[Correction] = CORRECTIONS, profiles: Iterable[str] | None = None) -> DataFrame:
+def correct_in_context(df: DataFrame, rules: Iterable[Context] = BOOK_CONTEXT, prev: str = "prev", after: str = "next", counts: str = "corrections") -> DataFrame:
+    """df (text, removed, prev, next, corrections) with the context rules applied in order; prev and next stay as recognised. A
+    line that is removed is done with, and keeps the corrections only of the rule that removed it."""
+    fired = []
+    df = df.withColumn("_gone", F.lit(False))
+    for i, r in enumerate(rules):
+        hit = ~F.col("removed") & ~F.col("_gone") & F.col("text").rlike(r.text)
+        hit = hit & F.col(prev).rlike(r.prev) if r.prev else hit
+        hit = hit & F.col(after).rlike(r.next) if r.next else hit
+        df = df.withColumn(f"_c{i}", hit)
+        if r.replacement is None:
+            df = df.withColumn("_gone", F.col("_gone") | F.col(f"_c{i}"))
+        else:
+            if "{" in r.replacement:
+                head, tail = r.replacement.split("{text}")
+                made = F.concat(F.lit(head), "text", *(F.col(prev) if x == "{prev}" else F.lit(x) for x in (tail.partition("{prev}")) if x))
+            else:
+                made = F.regexp_replace("text", r.text, r.replacement)
+            df = df.withColumn("text", F.when(F.col(f"_c{i}"), made).otherwise(F.col("text")))
+        fired.append((r, f"_c{i}"))
+    named = lambda removing: as_map([(r.name, F.col(c)) for r, c in fired if r.name and (r.replacement is None) == removing])
+    df = df.withColumn(counts, F.when(F.col("_gone"), named(True)).when(F.col("removed"), F.col(counts)).otherwise(F.map_concat(counts, named(False))))
+    return df.withColumn("removed", F.col("removed") | F.col("_gone")).drop("_gone", *(c for _, c in fired))
+
+
+def correct_lines(lines: DataFrame, rules: Iterable[Correction] = (*CORRECTIONS, *BOOK_CORRECTIONS), profiles: Iterable[str] | None = None) -> DataFrame:
     """lines (.., text, words) with text corrected also across lines, corrections and `removed`.
 
     What a line's neighbours say is their text before any correction. A corrected line has one word, with the line's box and the mean
     confidence; a continuation that its predecessor takes over is removed.
     """
-    ai = "ai-rag" in expand_profiles(profiles)
+    own = expand_profiles(profiles)
+    ai = "ai-rag" in own
     order = by_page("block_no", "line_no")
     near = lines.withColumn("_prev", F.coalesce(F.lag("text").over(order), F.lit(""))).withColumn("_next", F.coalesce(F.lead("text").over(order), F.lit("")))
     near = near.withColumn("removed", F.lit(ai) & F.col("_prev").endswith(SPLIT_TITLE) & F.col("text").rlike(CONTINUES)).withColumn("_own", F.col("text"))
@@ -56,6 +83,8 @@ def correct_lines(lines: DataFrame, rules: Iterable[Correction] = CORRECTIONS, p
     out = out.withColumn("_ends", ends).withColumn("text", F.when(F.col("_ends"), F.regexp_replace("text", r"Al\z", "AI")).otherwise(F.col("text")))
     more = as_map([("split LLM-as-a-/J udge -> LLM-as-a-Judge", F.col("_takes")), ("Al -> AI (before next-line の実務経験)", F.col("_ends"))])
     out = out.withColumn("corrections", F.when(F.col("removed"), F.expr(EMPTY)).otherwise(F.map_concat("corrections", more)))
+    if PROFILE in own:
+        out = correct_in_context(out, BOOK_CONTEXT, "_prev", "_next")
     word = F.struct(F.col("text").alias("text"), "left", "top", "right", "bottom", mean_confidence().alias("confidence"))
     out = out.withColumn("words", F.when(F.col("removed"), F.expr("slice(words, 1, 0)")).when(F.size("corrections") > 0, F.array(word)).otherwise(F.col("words")))
     return out.withColumn("text", F.when(F.col("removed"), F.col("_own")).otherwise(F.col("text"))).drop("_prev", "_next", "_own", "_takes", "_ends")

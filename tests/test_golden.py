@@ -225,3 +225,12 @@ def test_stream_of_frames(spark, tmp_path):
     q = frames.stream_stable_frames(stream, timeout=60, idle=1).writeStream.format("memory").queryName("turns").option("checkpointLocation", f"{tmp_path}/ck").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.sql("SELECT * FROM turns ORDER BY source, ts").collect()] == [("a", 4.0, "stable"), ("a", 5.0, "end"), ("b", 2.0, "end")]
+
+
+def test_corrections_of_one_title(spark):
+    texts = ["以下は評価パイプライ", "ジです。", "ジです。", "構成されま", "i :", "定番で", "Te", "す。", "「構造化された関係性」が特徴で", "1.2.3 Self-RAG", "(人名、組織、場所、出来事など)", "e ノード: 意味", "宮崎験の作品"]
+    df = lines.line_metrics(make(spark, [(t, 0.8) for t in texts]))
+    got = corrections.correct_lines(df, profiles=["rag-accuracy-book"]).orderBy("line_no").collect()
+    assert [r.text for r in got if not r.removed] == ["以下は評価パイプライ", "ンです。", "ジです。", "構成されます：", "定番です。", "「構造化された関係性」が特徴です。", "1.2.3 Self-RAG：", "e ノード: 意味 (人名、組織、場所、出来事など)", "宮崎駿の作品"]
+    assert got[6].removed and dict(got[6].corrections) == {"Te after 定番で -> removed": 1}
+    assert corrections.correct_lines(df).where("size(corrections) > 0").count() == 0
