@@ -188,8 +188,11 @@ def narrative_regions(images: DataFrame) -> DataFrame:
 
 
 def inked_lines(lines: DataFrame, images: DataFrame) -> DataFrame:
-    """lines with saturated, nonwhite and dark of their boxes. A page's boxes go to its image as one array."""
-    boxes = lines.groupBy("book", "page").agg(F.collect_list(F.struct("block_no", "line_no", "left", "top", "right", "bottom")).alias("boxes"))
+    """lines with saturated, nonwhite and dark of their boxes, and marker_dark of their first word's box. A page's boxes go to its
+    image as one array."""
+    first = F.get("words", F.lit(0))
+    box = F.struct("block_no", "line_no", "left", "top", "right", "bottom", first.alias("word"))
+    boxes = lines.groupBy("book", "page").agg(F.collect_list(box).alias("boxes"))
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,11 +200,13 @@ def inked_lines(lines: DataFrame, images: DataFrame) -> DataFrame:
             rows = []
             for r in pdf.itertuples():
                 im = image_of(r.width, r.height, r.pixels)
-                rows += [(r.book, r.page, b["block_no"], b["line_no"], *ink(im, b["left"], b["top"], b["right"], b["bottom"])) for b in r.boxes]
-            yield pd.DataFrame(rows, columns=["book", "page", "block_no", "line_no", "saturated", "nonwhite", "dark"])
+                for b in r.boxes:
+                    w = b["word"]
+                    rows.append((r.book, r.page, b["block_no"], b["line_no"], *ink(im, b["left"], b["top"], b["right"], b["bottom"]), darkness(im, w["left"], w["top"], w["right"], w["bottom"]) if w else 0.0))
+            yield pd.DataFrame(rows, columns=["book", "page", "block_no", "line_no", "saturated", "nonwhite", "dark", "marker_dark"])
 
     joined = images.select("book", "page", "width", "height", "pixels").join(boxes, ["book", "page"])
-    found = joined.mapInPandas(batches, f"book {kinds['book']}, page {kinds['page']}, block_no {kinds['block_no']}, line_no {kinds['line_no']}, saturated double, nonwhite double, dark double")
+    found = joined.mapInPandas(batches, f"book {kinds['book']}, page {kinds['page']}, block_no {kinds['block_no']}, line_no {kinds['line_no']}, saturated double, nonwhite double, dark double, marker_dark double")
     return lines.join(found, ["book", "page", "block_no", "line_no"], "left")
 
 

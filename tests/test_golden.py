@@ -234,3 +234,42 @@ def test_corrections_of_one_title(spark):
     assert [r.text for r in got if not r.removed] == ["以下は評価パイプライ", "ンです。", "ジです。", "構成されます：", "定番です。", "「構造化された関係性」が特徴です。", "1.2.3 Self-RAG：", "e ノード: 意味 (人名、組織、場所、出来事など)", "宮崎駿の作品"]
     assert got[6].removed and dict(got[6].corrections) == {"Te after 定番で -> removed": 1}
     assert corrections.correct_lines(df).where("size(corrections) > 0").count() == 0
+
+
+def test_whole_page_job(spark):
+    from pagemill.plans.pages import Options, process_pages
+
+    rows = [("生成 Al モデルを説明する本文がここに続いています。", 0.9, 10, 100), ("KG $a RX \\ \\", 0.15, 10, 20), ("日本語の文章 ABC", 0.9, 10, 60)]
+    primary = make(spark, [*rows, ("3", 0.9, 10, 900)])
+    done = process_pages(primary, options=Options(profiles=("ai-rag",)))
+    assert done.texts.first().text == "日本語の文章 ABC\n生成 AI モデルを説明する本文がここに続いています。"
+    r = done.reports.first()
+    assert r.filtered_lines == 1 and r.reordered_lines > 0 and not r.retried
+    assert r.corrections == {"Al -> AI (after 生成)": 1} and [c.reasons for c in r.review_candidates] == [["mixed_script_ending"]]
+    assert [len(x.words) for x in done.lines.collect()] == [1, 1]
+    better = make(spark, [("もっとよく読めた本文です。" * 3, 0.95, 10, 100)])
+    poor = make(spark, [("? ? ?", 0.2, 10, 100)])
+    again = process_pages(poor, alternate=better, options=Options(filter_low_confidence=False))
+    assert again.reports.first().retried and again.reports.first().mode == 11 and "もっと" in again.texts.first().text
+    attempts = spark.createDataFrame([("b", 1, 0, 0, 0, "日本語の文章", 0.95, 0.0), ("b", 1, 0, 0, 1, "x", 0.2, 0.0)], "book string, page int, block_no int, line_no int, nth int, text string, confidence double, suspicious_ratio double")
+    fixed = process_pages(primary, attempts=attempts)
+    assert fixed.texts.first().text.startswith("日本語の文章\n") and fixed.reports.first().retried_lines == 1
+    assert Options.of({"profiles": "a, b", "adaptive": "0"}) == Options(profiles=("a", "b"), adaptive=False)
+
+
+def test_whole_page_job_with_images(spark):
+    from pagemill.plans.pages import Options, process_pages
+
+    im = np.full((1000, 600, 3), 255, np.uint8)
+    im[300:500, 100:400] = (200, 40, 40)
+    im[22:38, 12:28] = 0
+    images = spark.createDataFrame(pd.DataFrame({"book": ["b"], "page": [1], "width": [600], "height": [1000], "pixels": [im.tobytes()]}))
+    body = [("本文の長い説明がここに続いています。そして続く。", 0.95, 50, 700 + 40 * i, 500, 720 + 40 * i) for i in range(3)]
+    chart = [(f"L{i}", 0.9, 120, 320 + 40 * i, 180, 340 + 40 * i) for i in range(4)]
+    df = make(spark, [*body, *chart])
+    marker = [("b", 1, 0, 50, 10.0, 20.0, 300.0, 40.0, 600, 1000, [("e", 12.0, 22.0, 28.0, 38.0, 0.9), ("最初の項目", 60.0, 20.0, 300.0, 40.0, 0.9)])]
+    done = process_pages(df.unionByName(spark.createDataFrame(marker, LINES)), images)
+    assert done.texts.first().text.splitlines() == ["最初の項目"] + ["本文の長い説明がここに続いています。そして続く。"] * 3
+    assert done.reports.first().filtered_figure_lines == 4 and done.reports.first().filtered_list_markers == 1
+    comic = process_pages(df, images, Options(content="manga", comic_scope="all"))
+    assert comic.reports.count() == 1 and comic.texts.first().text
