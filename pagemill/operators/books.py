@@ -62,7 +62,7 @@ def drop_repeated_edges(pages: DataFrame) -> DataFrame:
 
 def drop_spurious_blanks(text: Column | str) -> Column:
     """Without blank lines between a line that ends and one that begins with Japanese. Lines come out stripped."""
-    return F.regexp_replace(F.array_join(stripped_lines(text), "\n"), f"(?<=[{JP}])\\n{{2,}}(?=[{JP}])", "\n")
+    return F.regexp_replace(F.array_join(stripped_lines(text), "\n"), f"\\n(?<=[{JP}]\\n)\\n+(?=[{JP}])", "\n")
 
 
 def join_wrapped_lines(text: Column | str) -> Column:
@@ -74,7 +74,7 @@ def join_wrapped_lines(text: Column | str) -> Column:
     lines = F.filter(stripped_lines(text), lambda x: ~is_page_number(x))
     text = F.array_join(lines, "\n")
     text = F.regexp_replace(text, r"-\n(?=[A-Za-z])", "")
-    text = F.regexp_replace(text, f"(?<=[{JP}])\\n(?=[{JP}])", "")
+    text = F.regexp_replace(text, f"\\n(?<=[{JP}]\\n)(?=[{JP}])", "")
     text = F.regexp_replace(text, r"(?<!\n)\n(?!\n)", " ")
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\n+|\n+\z", "")
 

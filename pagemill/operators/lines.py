@@ -12,12 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import JAPANESE, JAPANESE_OR_PUNCTUATION, collapse_japanese_spaces, is_page_number, strip, visible
+from pagemill.functions.text import JAPANESE, JAPANESE_OR_PUNCTUATION, by_script, collapse_japanese_spaces, is_page_number, strip, visible
 
 PAGE = ["book", "page"]
 # Characters that mean something, and punctuation that is no noise.
 MEANINGFUL = f"A-Za-z0-9{JAPANESE}"
 SAFE = JAPANESE_OR_PUNCTUATION.replace(JAPANESE, "") + r".,:;!?()\[\]{}<>+\-/%&@#'\""
+ASCII_FINE = "".join(chr(c) for c in range(33, 127) if chr(c).isalnum() or chr(c) in ".,:;!?()[]{}<>+-/%&@#'\"")
 RETRY_CONFIDENCE, RETRY_SUSPICION, RETRY_LINES, RETRY_CHARACTERS = 0.78, 0.12, 15, 220
 
 
@@ -27,27 +28,35 @@ def by_page(*order: Column | str) -> Window:
 
 def line_text(words: Column | str = "words") -> Column:
     """A line's words, stripped and joined by one space, without blanks between Japanese."""
-    parts = F.filter(F.transform(words, lambda w: strip(w["text"])), lambda t: t != "")
-    return strip(collapse_japanese_spaces(F.array_join(parts, " ")))
+    words = F.col(words) if isinstance(words, str) else words
+    # One regular expression over the joined line, with a mark between words, rather than one for each word.
+    return _normal(F.array_join(words["text"], "\x01"))
+
+
+def _normal(marked: Column | str) -> Column:
+    parted = by_script(by_script(marked, r"\s*\x01[\s\x01]*", " "), r"^\s+|\s+\z", "")
+    return collapse_japanese_spaces(parted)
 
 
 def suspicion(text: Column | str, empty: float) -> Column:
     """Share of the visible characters that are neither meaningful nor safe punctuation."""
     text = visible(text)
-    odd = F.length(F.regexp_replace(text, f"[{MEANINGFUL}{SAFE}]", ""))
+    # What ASCII has of both goes by a table first; the large class then meets little.
+    odd = F.length(F.regexp_replace(F.translate(text, ASCII_FINE, ""), f"[{MEANINGFUL}{SAFE}]", ""))
     return F.coalesce(F.try_divide(odd, F.length(text)), F.lit(empty))
 
 
 def mean_confidence(words: Column | str = "words") -> Column:
     """Mean of the known confidences; null without any."""
-    known = F.filter(F.transform(words, lambda w: w["confidence"]), lambda c: c.isNotNull())
+    known = F.array_compact((F.col(words) if isinstance(words, str) else words)["confidence"])
     return F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, c: a + c), F.size(known))
 
 
 def line_metrics(lines: DataFrame) -> DataFrame:
     """lines with text, characters, confidence (2 places, 0 if none is known) and suspicious_ratio (0 for an empty line)."""
-    out = lines.withColumn("text", line_text()).withColumn("characters", F.length(visible("text")))
-    return out.withColumn("confidence", F.round(F.coalesce(mean_confidence(), F.lit(0.0)), 2)).withColumn("suspicious_ratio", suspicion("text", 0.0))
+    out = lines.withColumn("_marked", F.array_join(F.col("words")["text"], "\x01")).withColumn("text", _normal("_marked")).drop("_marked")
+    out = out.withColumn("_visible", visible("text")).withColumn("characters", F.length("_visible"))
+    return out.withColumn("confidence", F.round(F.coalesce(mean_confidence(), F.lit(0.0)), 2)).withColumn("suspicious_ratio", suspicion("_visible", 0.0)).drop("_visible")
 
 
 def page_metrics(measured: DataFrame) -> DataFrame:
@@ -168,7 +177,7 @@ def merge_dedupe(lines: DataFrame) -> DataFrame:
 
 def merge_words(lines: DataFrame) -> DataFrame:
     """lines whose words are one word with the line's box and text and the least confidence; page numbers are left out."""
-    least = F.array_min(F.transform("words", lambda w: w["confidence"]))
+    least = F.array_min(F.col("words")["confidence"])
     out = lines.where(F.size("words") > 0).withColumn("_text", line_text()).where(~is_page_number("_text"))
     word = F.struct(F.col("_text").alias("text"), "left", "top", "right", "bottom", least.alias("confidence"))
     return out.withColumn("words", F.array(word)).drop("_text")

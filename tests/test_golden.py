@@ -251,7 +251,7 @@ def test_whole_page_job(spark):
     poor = make(spark, [("? ? ?", 0.2, 10, 100)])
     again = process_pages(poor, alternate=better, options=Options(filter_low_confidence=False))
     assert again.reports.first().retried and again.reports.first().mode == 11 and "もっと" in again.texts.first().text
-    attempts = spark.createDataFrame([("b", 1, 0, 0, 0, "日本語の文章", 0.95, 0.0), ("b", 1, 0, 0, 1, "x", 0.2, 0.0)], "book string, page int, block_no int, line_no int, nth int, text string, confidence double, suspicious_ratio double")
+    attempts = spark.createDataFrame([("b", 1, 0, 0, 0, "日本語の文章", 0.99, 0.0), ("b", 1, 0, 0, 1, "x", 0.2, 0.0)], "book string, page int, block_no int, line_no int, nth int, text string, confidence double, suspicious_ratio double")
     fixed = process_pages(primary, attempts=attempts)
     assert fixed.texts.first().text.startswith("日本語の文章\n") and fixed.reports.first().retried_lines == 1
     assert Options.of({"profiles": "a, b", "adaptive": "0"}) == Options(profiles=("a", "b"), adaptive=False)
