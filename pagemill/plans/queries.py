@@ -436,6 +436,14 @@ def tagged_candidates(spark, sf_dir):
     return reports.tagged_candidates(page_reports(spark, sf_dir)).select("book", "page", "nth", "text")
 
 
+@query()
+def page_job(spark, sf_dir):
+    from pagemill.plans.pages import process_pages
+
+    done = process_pages(corpus.lines(spark, sf_dir))
+    return done.reports.join(done.texts, ["book", "page"], "left").drop("correction_profiles")
+
+
 # --- pixels and frames -----------------------------------------------------------------------------------------------
 @query("""WITH e AS (SELECT vec_id, label, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings)
 SELECT vec_id, list_max(list_transform(list_zip(embedding, before), lambda z: abs(z[1] - z[2]))) <= 0.5::FLOAT AS same FROM e WHERE before IS NOT NULL""")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +82,80 @@ def checksum_matches(files: DataFrame, pinned: DataFrame) -> DataFrame:
     """(name, sha256, ok): each pinned (name, sha256) and whether the file (name, content) has it; false without the file."""
     own = files.select("name", F.sha2("content", 256).alias("found"))
     return pinned.join(own, "name", "left").select("name", "sha256", F.coalesce(F.col("found") == F.lower("sha256"), F.lit(False)).alias("ok"))
+
+
+def parse_hocr(pages: DataFrame) -> DataFrame:
+    """(book, page, value), value being hOCR markup -> lines with boxes and words with confidences from 0 to 1.
+
+    Paragraphs are blocks; elements of the line classes are lines, in the order of the markup. A line without words is left
+    out, and one without a box of its own has that of its words. Markup is parsed as HTML, so it needn't be well-formed.
+    """
+    schema = "book {book}, page {page}, block_no int, line_no int, left double, top double, right double, bottom double, words array<struct<text:string,left:double,top:double,right:double,bottom:double,confidence:double>>, page_width int, page_height int"
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for r in pdf.itertuples():
+                found = Hocr()
+                found.feed(r.value or "")
+                rows += [(r.book, r.page, *line) for line in found.rows()]
+            yield pd.DataFrame(rows, columns=["book", "page", "block_no", "line_no", "left", "top", "right", "bottom", "words", "page_width", "page_height"])
+
+    return pages.select("book", "page", "value").mapInPandas(parse, schema.format(**kinds))
+
+
+class Hocr(HTMLParser):
+    """Lines and words of hOCR, by its classes and the properties in its titles."""
+
+    LINES = ("ocr_line", "ocr_header", "ocr_caption", "ocr_textfloat")
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.stack: list[str] = []
+        self.lines: list[dict] = []
+        self.block, self.size = -1, (0, 0)
+
+    @staticmethod
+    def properties(title: str) -> dict[str, list[float]]:
+        found = {}
+        for part in title.split(";"):
+            name, *values = part.split() or [""]
+            found[name] = [float(v) for v in values if re.fullmatch(r"-?\d+(\.\d+)?", v)]
+        return found
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        own = dict(attrs)
+        kind, p = (own.get("class") or "").split(" ")[0], self.properties(own.get("title") or "")
+        box = p.get("bbox") if len(p.get("bbox", [])) == 4 else None
+        if tag not in ("br", "meta", "img", "link", "hr", "input"):
+            self.stack.append(kind)
+        if kind == "ocr_page" and box:
+            self.size = (int(box[2] - box[0]), int(box[3] - box[1]))
+        elif kind == "ocr_par":
+            self.block += 1
+        elif kind in self.LINES:
+            self.lines.append({"block": max(0, self.block), "box": box, "words": []})
+        elif kind == "ocrx_word" and self.lines:
+            sure = p.get("x_wconf")
+            self.lines[-1]["words"].append(["", box, sure[0] / 100 if sure else None])
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.stack:
+            self.stack.pop()
+
+    def handle_data(self, data: str) -> None:
+        if "ocrx_word" in self.stack and self.lines and self.lines[-1]["words"]:
+            self.lines[-1]["words"][-1][0] += data
+
+    def rows(self) -> Iterator[tuple]:
+        number = {}
+        for line in self.lines:
+            words = [(t.strip(), b or line["box"], c) for t, b, c in line["words"] if t.strip()]
+            boxes = [b for _, b, _ in words if b]
+            box = line["box"] or ([f(b[i] for b in boxes) for i, f in enumerate((min, min, max, max))] if boxes else None)
+            if not words or not box:
+                continue
+            k = number[line["block"]] = number.get(line["block"], -1) + 1
+            made = [dict(zip(("text", "left", "top", "right", "bottom", "confidence"), (t, *(b or box), c), strict=True)) for t, b, c in words]
+            yield line["block"], k, *box, made, *self.size

@@ -273,3 +273,15 @@ def test_whole_page_job_with_images(spark):
     assert done.reports.first().filtered_figure_lines == 4 and done.reports.first().filtered_list_markers == 1
     comic = process_pages(df, images, Options(content="manga", comic_scope="all"))
     assert comic.reports.count() == 1 and comic.texts.first().text
+
+
+def test_hocr(spark):
+    markup = """<div class='ocr_page' title='image "x.png"; bbox 0 0 600 800'><div class='ocr_carea'><p class='ocr_par'>
+    <span class='ocr_line' title="bbox 10 20 200 40; baseline 0 -3"><span class='ocrx_word' title='bbox 10 20 60 40; x_wconf 91'>日本</span> <span class='ocrx_word' title='bbox 70 20 200 40; x_wconf 80'><strong>語</strong></span></span>
+    <span class='ocr_line' title="bbox 10 50 200 70"><span class='ocrx_word' title='bbox 10 50 60 70'> </span></span></p>
+    <p class='ocr_par'><span class='ocr_header'><span class='ocrx_word' title='bbox 5 90 60 110; x_wconf 50'>Head &amp; more</span></span></p></div></div>"""
+    rows = spark.createDataFrame([("b", 1, markup), ("b", 2, None)], "book string, page int, value string")
+    got = readers.parse_hocr(rows).orderBy("block_no", "line_no").collect()
+    assert [(r.block_no, r.line_no, [w.text for w in r.words]) for r in got] == [(0, 0, ["日本", "語"]), (1, 0, ["Head & more"])]
+    assert (got[0].left, got[0].bottom, got[0].page_width, got[0].page_height) == (10, 40, 600, 800)
+    assert [w.confidence for w in got[0].words] == [0.91, 0.8] and (got[1].left, got[1].right) == (5, 60)
