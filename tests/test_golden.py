@@ -1,5 +1,7 @@
 """Known inputs and what must come out."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -221,9 +223,16 @@ def test_stream_of_frames(spark, tmp_path):
     rows = [("a", float(t), [float(v)]) for t, v in enumerate([0, 0, 50, 90, 90, 90])] + [("b", float(t), [0.0]) for t in range(3)]
     spark.createDataFrame(rows, "source string, ts double, frame array<double>").write.parquet(f"{tmp_path}/in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     stream = spark.readStream.schema("source string, ts double, frame array<double>").parquet(f"{tmp_path}/in")
-    q = frames.stream_stable_frames(stream, timeout=60, idle=1).writeStream.format("memory").queryName("turns").option("checkpointLocation", f"{tmp_path}/ck").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = frames.stream_stable_frames(stream, timeout=60, idle=1).writeStream.format("memory").queryName("turns").option("checkpointLocation", f"{tmp_path}/ck").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 90
+        while time.time() < end and spark.table("turns").count() < 3:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert [tuple(r) for r in spark.sql("SELECT * FROM turns ORDER BY source, ts").collect()] == [("a", 4.0, "stable"), ("a", 5.0, "end"), ("b", 2.0, "end")]
 
 
