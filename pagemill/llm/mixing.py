@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     a null source is a source of its own. Equal rows tie and any of them may go, with the same result. Sizes of 0
     are taken 0 words. An empty table gives no rows.
 
-    To the driver comes one row per source. A source's lengths meet in one task, a row per distinct length. A length
+    To the driver comes one row per source, and back; Spark broadcasts these rows only if they are small. A source's lengths meet in one task, a row per distinct length. A length
     of which only some go is dealt to about the square root of its documents as hash buckets, and only the bucket at the
     boundary is ranked, so no task ranks a large group.
     """
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "n": pdf["n"], "base": base, "more": more, "source_size": total, "target": target})
 
     sizes = own.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
-    plan = sizes.join(F.broadcast(per), sizes["source"].eqNullSafe(per["source"])).select(sizes["source"], "size", "n", "source_size", "target")  # per: a row per source
+    plan = sizes.join(per, sizes["source"].eqNullSafe(per["source"])).select(sizes["source"], "size", "n", "source_size", "target")
     plan = plan.groupBy("source").applyInPandas(choose, "source string, size long, n long, base int, more long, source_size long, target double")
     # A null source is joined by a text that no other source has: plain equality lets skewed joins be split.
     tag = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("tag")
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     edge = counts.withColumn("rest", F.col("more") - F.sum("held").over(up) + F.col("held")).where("rest > 0 and rest <= held").select("tag", "size", F.col("bucket").alias("edge"), "rest")
     plan = written(plan.join(edge, ["tag", "size"], "left"), "edges")
     per = per.select(tag, "source_size", "target")
-    known = dealt.join(F.broadcast(per), "tag").join(plan, ["tag", "size"], "left")
+    known = dealt.join(per, "tag").join(plan, ["tag", "size"], "left")
     known = written(known.select("doc_id", "text_hash", "tag", "size", "source_size", "target", "hash", F.coalesce("base", F.lit(0)).alias("base"), "more", "n", bucket, "edge", "rest"), "known")
     at_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
     order = Window.partitionBy("tag", "size", "bucket").orderBy("hash", "doc_id", "text_hash")

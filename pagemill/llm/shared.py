@@ -32,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Rows written once to the shared folder; Spark's cleaner removes them. For small rows and loops."""
+    """Rows written once to the shared folder, for small rows and loops. Spark's cleaner removes them where
+    spark.cleaner.referenceTracking.cleanCheckpoints is on."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
