@@ -34,10 +34,10 @@ def width() -> Column:
     return F.col("right") - F.col("left")
 
 
-def in_regions(lines: DataFrame, regions: DataFrame) -> DataFrame:
-    """(line key, region_no): the regions (book, page, region_no, r_left, r_top, r_right, r_bottom) that hold a line's centre."""
+def in_regions(lines: DataFrame, regions: DataFrame, *carry: str) -> DataFrame:
+    """(line key, region_no, *carry of the line): the regions (book, page, region_no, r_left, r_top, r_right, r_bottom) that hold a line's centre."""
     x, y = (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
-    return lines.join(regions, PAGE).where(x.between(F.col("r_left"), F.col("r_right")) & y.between(F.col("r_top"), F.col("r_bottom"))).select(*LINE, "region_no")
+    return lines.join(regions, PAGE).where(x.between(F.col("r_left"), F.col("r_right")) & y.between(F.col("r_top"), F.col("r_bottom"))).select(*LINE, "region_no", *carry)
 
 
 def text_kinds(lines: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def narrative_lines(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """
     own = text_kinds(lines)
     foul = F.col("code_like") | F.col("ui_like") | F.col("ascii_ui")
-    held = in_regions(own, regions).join(own.select(*LINE, foul.alias("foul")), LINE)
+    held = in_regions(own.withColumn("foul", foul), regions, "foul")
     clean = held.groupBy(*PAGE, "region_no").agg(F.bool_or("foul").alias("spoilt")).where("not spoilt")
     inside = held.join(clean, [*PAGE, "region_no"]).select(*LINE).distinct().withColumn("inside", F.lit(True))
     large = (F.col("relative_height") >= 0.04) & ((width() >= 1.2 * height()) | (F.col("japanese") >= 2))
