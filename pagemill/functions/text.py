@@ -40,7 +40,9 @@ def squeeze(c: Column | str) -> Column:
 
 
 def visible(c: Column | str) -> Column:
-    return by_script(c, r"\s", "")
+    """Without white space."""
+    c = col(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(c, r"(?U)\s", "")).otherwise(F.translate(c, " \t\n\x0b\f\r", ""))
 
 
 def is_page_number(c: Column | str) -> Column:

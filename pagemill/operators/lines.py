@@ -34,8 +34,11 @@ def line_text(words: Column | str = "words") -> Column:
 
 
 def _normal(marked: Column | str) -> Column:
+    marked = F.col(marked) if isinstance(marked, str) else marked
     parted = by_script(by_script(marked, r"\s*\x01[\s\x01]*", " "), r"^\s+|\s+\z", "")
-    return collapse_japanese_spaces(parted)
+    # Nothing to do but to put blanks: printable ASCII words without white space, none of them empty.
+    plain = ~marked.rlike(r"[^\x01\x21-\x7e]|\x01\x01|^\x01|\x01\z")
+    return F.when(plain, F.translate(marked, "\x01", " ")).otherwise(collapse_japanese_spaces(parted))
 
 
 def suspicion(text: Column | str, empty: float) -> Column:
