@@ -1,13 +1,18 @@
-"""Document fingerprints by winnowing, in DataFrame functions alone."""
+"""Document fingerprints by winnowing: of characters in Arrow, or of words in DataFrame functions alone."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import written
+from pagemill.llm.shared import column, pieces, written
 
 GRAM, WINDOW = 4, 16
+CHARACTERS, SPAN = 5, 8
 _LAST = (1 << 31) - 1
 
 
@@ -74,6 +79,16 @@ def followers(in_ranges: DataFrame) -> DataFrame:
     return in_ranges.withColumn("next", inside).join(F.broadcast(after), "range").withColumn("next", F.coalesce("next", "after")).drop("range", "after")
 
 
+def next_texts(base: DataFrame, key: Column) -> DataFrame:
+    """(prev, need, whole): of each key the text that follows it, and how much of it the edit of its longest text takes."""
+    ids = base.groupBy(key.alias("key")).agg(F.floor(F.max(F.length("text")) / 2).cast("int").alias("need"), F.count("*").alias("rows"))
+    ids = ranged(ids)
+    after = base.join(followers(ids).select(F.col("key").alias("prev"), "next", "need"), key == F.col("next")).select("prev", "need", F.col("text").alias("whole"))
+    if ids.where("rows > 1").limit(1).count():
+        after = after.groupBy("prev", "need").agg(F.min("whole").alias("whole"))
+    return after
+
+
 def fingerprint(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per row of docs
     (doc_id, text; other columns are ignored).
@@ -89,11 +104,7 @@ def fingerprint(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    ids = base.groupBy(key.alias("key")).agg(F.floor(F.max(F.length("text")) / 2).cast("int").alias("need"), F.count("*").alias("rows"))
-    ids = ranged(ids)
-    after = base.join(followers(ids).select(F.col("key").alias("prev"), "next", "need"), key == F.col("next")).select("prev", "need", F.col("text").alias("whole"))
-    if ids.where("rows > 1").limit(1).count():
-        after = after.groupBy("prev", "need").agg(F.min("whole").alias("whole"))
+    after = next_texts(base, key)
     after = winnowed(after, "whole", "next_grams", window).select("prev", F.substring("whole", F.lit(1), F.col("need")).alias("head"), hashes("next_grams").alias("next_set"))
     both = base.join(after, key == F.col("prev")).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
@@ -103,3 +114,83 @@ def fingerprint(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     both = winnowed(both, "edited", "edited_grams", window)
     both = both.withColumn("own_set", hashes("grams")).withColumn("edited_set", hashes("edited_grams"))
     return both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_text("grams").alias("fingerprint"), as_text("edited_grams").alias("edited_fingerprint"), likeness("own_set", "edited_set").alias("near_edited"), likeness("own_set", "next_set").alias("near_next"))
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_EMPTY = np.zeros(0, np.int64)
+
+
+def _least(x: np.ndarray, at: int, gram: int, window: int) -> np.ndarray:
+    """The least packed gram of each window of x, whose first gram is the text's gram number `at`."""
+    h = np.full(len(x) - gram + 1, gram, np.uint64)
+    for i in range(gram):
+        h = (h ^ x[i : len(h) + i]) * _MIX
+        h ^= h >> np.uint64(29)
+    m = (h * _MIX >> np.uint64(32)).astype(np.int64) << 31 | (_LAST - at - np.arange(len(h)))
+    by = 1
+    while by < min(window, len(h)):
+        step = min(by, min(window, len(h)) - by)
+        m, by = np.minimum(m[:-step], m[step:]), by + step
+    return m
+
+
+def characters(text: str, gram: int = CHARACTERS, window: int = SPAN, at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of 32 bits, position) of each winnowed gram of a text's code points, in order.
+
+    A run of ASCII white space is one blank, and none at the ends. In each window of grams the least hash is taken, of equal
+    ones the rightmost. A text shorter than a gram is one gram; fewer grams than a window are one window; no character: none.
+    Two texts that share gram + window - 1 characters in a row share a fingerprint. A position is the number of
+    code points before the gram.
+    """
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    blank = (x == 32) | ((x >= 9) & (x <= 13))
+    if not (solid := np.flatnonzero(~blank)).size:
+        return _EMPTY, _EMPTY
+    kept = ~blank
+    kept[1:] |= ~blank[:-1]
+    places = np.flatnonzero(kept[: solid[-1] + 1])
+    places = places[np.searchsorted(places, solid[0]) :]
+    x = np.where(blank, 32, x)[places].astype(np.uint64)
+    gram = min(gram, len(x))
+    window = min(window, len(x) - gram + 1)
+    reach = gram + window - 2
+    m = np.concatenate([_least(x[i : i + at_once + reach], i, gram, window) for i in range(0, len(x) - reach, at_once)])
+    m = m[np.append(True, m[1:] != m[:-1])]
+    return m >> 31, places[_LAST - (m & _LAST)]
+
+
+def shown(hashes: np.ndarray, positions: np.ndarray) -> str:
+    return " ".join(map("%08x:%d".__mod__, zip(hashes.tolist(), positions.tolist(), strict=True)))
+
+
+def shared(a: set[int], b: set[int]) -> float:
+    """likeness() of sets of hashes."""
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def fingerprint_characters(docs: DataFrame, gram: int = CHARACTERS, window: int = SPAN) -> DataFrame:
+    """What fingerprint() gives, with characters() as grams; ids, nulls and the edit are the same.
+
+    Texts move once by their own id and once by that of the document before.
+    """
+    base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    both = base.join(next_texts(base, key), key == F.col("prev")).withColumn("n_chars", F.length("text").cast("long"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("whole", F.lit(1), half)))
+    both = both.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "text", "edited", "whole")
+    kept = ["doc_id", "n_chars", "edited_sha256"]
+
+    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 128):
+            out = []
+            for own, edited, after in zip(*(column(b, c).to_pylist() for c in ("text", "edited", "whole")), strict=True):
+                (h, p), (e, q), (n, _) = (characters(t, gram, window) for t in (own, edited, after))
+                mine = set(h.tolist())
+                out.append((shown(h, p), shown(e, q), shared(mine, set(e.tolist())), shared(mine, set(n.tolist()))))
+            kinds = {"fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
+            by = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in kept), *(pa.array(list(v), k) for v, k in zip(by, kinds.values(), strict=True))], kept + list(kinds))
+
+    return both.mapInArrow(roll, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -1,0 +1,66 @@
+import hashlib
+import random
+
+import pytest
+
+from pagemill.llm import queries, winnowing
+from tests.llm.test_winnowing import edited, parsed
+
+
+def pairs(*args):
+    return list(zip(*(v.tolist() for v in winnowing.characters(*args)), strict=True))
+
+
+@pytest.mark.parametrize(("gram", "window"), [(5, 8), (3, 1), (4, 7)])
+def test_against_the_definition(gram, window):
+    rng = random.Random(gram)
+    for n in [0, 1, 2, 3, 5, 11, 12, 13, 40, 200]:
+        text = "".join(rng.choice("ab") for _ in range(n))
+        k = min(gram, n)
+        h = [pairs(text[i : i + k], gram, 1)[0][0] for i in range(n - k + 1)] if n else []
+        want = []
+        for i in range(max(1, len(h) - window + 1) if h else 0):
+            part = h[i : i + window]
+            j = i + max(j for j, x in enumerate(part) if x == min(part))
+            if (h[j], j) not in want:
+                want.append((h[j], j))
+        assert pairs(text, gram, window) == want
+        assert pairs(text, gram, window, 7) == want
+
+
+def test_white_space_and_positions():
+    a, p = winnowing.characters("some words here, and more")
+    b, q = winnowing.characters("  some\n\twords  here, and\r\nmore \n")
+    assert a.tolist() == b.tolist()
+    assert q[0] > p[0]
+    assert not winnowing.characters(" \n\t")[0].size
+
+
+def test_short_and_unspaced_texts_stay_near_their_edits(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 8)))
+    unspaced = lambda low, n: "".join(chr(rng.randrange(low, low + 80)) for _ in range(n))
+    texts = [" ".join(word() for _ in range(n)) for n in range(5, 41)]
+    texts += [unspaced(low, n) for low in (0x4E00, 0x3042, 0x0E01) for n in (24, 40, 400)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "abc")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op8_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for k, (i, t) in enumerate(rows):
+        a, b = t or "", rows[(k + 1) % len(rows)][1] or ""
+        e = edited(a, b)
+        r = got[i]
+        assert r.n_chars == len(a) and r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+        own, ed, nx = ({h for h, _ in pairs(x)} for x in (a, e, b))
+        assert {h for h, _ in parsed(r.fingerprint)} == own and {h for h, _ in parsed(r.edited_fingerprint)} == ed
+        for value, other in ((r.near_edited, ed), (r.near_next, nx)):
+            assert value == pytest.approx(len(own & other) / len(own | other) if own | other else 1.0)
+        if i < 900:
+            assert r.near_edited > 0.05
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [(None, "x y z w v"), (1, "b b b b b"), (1, "a a a a a"), (1, "a a a a a"), (9, "c c")]
+    got = winnowing.fingerprint_characters(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.edited_sha256) for r in got) == sorted((i is None, i or 0, hashlib.sha256(edited(t, n).encode()).hexdigest()) for (i, t), n in zip(rows, ["a a a a a", "c c", "c c", "c c", "x y z w v"]))
+    assert winnowing.fingerprint_characters(spark.createDataFrame([], "doc_id long, text string")).count() == 0
