@@ -31,12 +31,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest doc_id; of rows that share it, one."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select("row.*")
+    """Of each near-duplicate group the document with the smallest doc_id, a null one last; of rows that share it, one."""
+    groups = simhash.near_groups(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
+    first = groups.groupBy("group").agg(F.min(order).alias("row")).select("row.doc_id", "row.text_hash")
     first = written(first, "representatives")
     rows = docs.join(first, same_row(docs, first), "left_semi").select(*COLUMNS)
-    repeated = groups.groupBy("doc_id", "text_hash").count().where("count > 1").join(first, ["doc_id", "text_hash"], "left_semi")
+    repeated = groups.groupBy("doc_id", "text_hash").count().where("count > 1")
+    repeated = repeated.join(first, repeated["doc_id"].eqNullSafe(first["doc_id"]) & (repeated["text_hash"] == first["text_hash"]), "left_semi")
     return once(rows) if repeated.limit(1).count() else rows
 
 

@@ -113,19 +113,29 @@ def links(nodes: DataFrame, radius: int = 2, blocks: int = 4, tile: int = 2048)
     return both.mapInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id), one row per row of docs (doc_id, text; other columns are ignored).
+def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, text_hash, fp, group), one row per row of docs (doc_id, text; other columns are ignored).
 
-    Fingerprints within the radius are linked, and so what they reach; component_id is the smallest doc_id of
-    the component. Null, empty and blank texts have fingerprint 0 and are linked with each other like any other.
-    Repeated rows and ids stay. A null doc_id is carried along; a component of none but null ids has a null id.
-    An empty table gives no rows.
+    Fingerprints within the radius are linked, and so what they reach, whatever the ids; group is the smallest
+    fingerprint of the component, as a signed number. Null, empty and blank texts have fingerprint 0 and are linked with
+    each other like any other.
     """
     fps = written(fingerprints(docs, shingle, seed), "fingerprints")
-    nodes = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = written(fps.select("fp", F.col("fp").alias("node")).distinct(), "nodes")
     found = connected_components(links(nodes, radius))
-    of = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(of, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
+    of = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("group"))
+    return fps.join(of, "fp", "left").select("doc_id", "text_hash", "fp", "group")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id), one row per row of docs (doc_id, text; other columns are ignored).
+
+    Groups are those of near_groups(); component_id is the smallest doc_id of the group. Repeated rows and ids stay. Rows
+    with a null doc_id link others like any; a group of none but null ids has a null id. An empty table gives no rows.
+    """
+    groups = written(near_groups(docs, radius, shingle, seed), "groups")
+    ids = groups.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return groups.join(ids, "group").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):
