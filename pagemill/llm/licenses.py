@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -39,7 +40,7 @@ TEMPLATES = {
 HINTS = r"licen[sc]|copyright|spdx|all\s+rights\s+reserved|permission\s+is\s+hereby|redistribution\s+and\s+use|general\s+public"
 _HINT = re.compile(HINTS, re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
-TOLERANCE, BEST, MARGIN = 0.1, 4, 24
+TOLERANCE, MARGIN = 0.1, 24
 
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
@@ -47,17 +48,25 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], tolerance: float = TOLERANCE, best: int = BEST) -> None:
+    def __init__(self, templates: dict[str, str], tolerance: float = TOLERANCE) -> None:
         self.words = {name: [w for w, *_ in words_of(t)] for name, t in templates.items()}
         self.plain = zstandard.ZstdCompressor(level=3)
         self.given = {name: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name, w in self.words.items()}
-        self.tolerance, self.best = tolerance, best
-
-    def reductions(self, words: list[str]) -> dict[str, float]:
-        """How much smaller the block gets with each template as dictionary, as a share of its size without."""
+        self.counts = {name: Counter(w) for name, w in self.words.items()}
+        self.tolerance = tolerance
+
+    def possible(self, words: list[str]) -> list[str]:
+        """The templates of whose words the block holds enough, in any order, that they could be within the tolerance."""
+        held = Counter(words)
+        return [name for name, c in self.counts.items() if sum(min(n, held[w]) for w, n in c.items()) >= c.total() - int(self.tolerance * c.total())]
+
+    def reductions(self, words: list[str], names: list[str]) -> dict[str, float]:
+        """How much smaller the block gets with each of these templates as dictionary, as a share of its size without."""
+        if not names:
+            return {}
         raw = " ".join(words).encode()
         size = len(self.plain.compress(raw))
-        return {name: 1 - len(c.compress(raw)) / size for name, c in self.given.items()}
+        return {name: 1 - len(self.given[name].compress(raw)) / size for name in names}
 
     def differences(self, name: str, block: list[str]) -> tuple[int, int, int] | None:
         """First and last word of the block's best alignment with a template, and how many words of either differ there."""
@@ -118,8 +127,8 @@ class Scanner:
         near = self._near(words)
         ranked = []
         for a, b in near:
-            gains = self.reductions(words[a:b])
-            for name in sorted(gains, key=lambda n: (-gains[n], n))[: self.best]:
+            gains = self.reductions(words[a:b], self.possible(words[a:b]))
+            for name in sorted(gains, key=lambda n: (-gains[n], n)):
                 ranked.append((gains[name], name, a, b))
         best = None
         for gain, name, a, b in ranked:
@@ -149,8 +158,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, tolerance: fl
     """(doc_id, license, start, end, differences, reduction): a row for each notice in docs (doc_id, text; other columns
     are ignored), with its first character and the one after its last.
 
-    Blocks about words such as "license" or "copyright" are compressed alone and with each template as raw dictionary;
-    the templates that shrink a block most are aligned with it, and the one with most equal words stands if the words
+    Blocks about words such as "license" or "copyright" are compressed alone and with each template as raw dictionary
+    that has enough words in them; all of these are aligned, and the one with most equal words stands if the words
     that differ, of either side, are at most `tolerance` of the template's, rounded down. What is left of the block
     on both sides is scanned again, so several notices in a text are all found, repeats included. Null and empty
     texts, and those without a notice, give no rows. Repeated rows give their rows each; a null doc_id is carried along.

@@ -1,0 +1,21 @@
+import random
+
+import pytest
+
+from pagemill.llm.licenses import TEMPLATES, Scanner
+
+
+@pytest.mark.parametrize("name", [n for n, t in TEMPLATES.items() if len(t) < 200])
+def test_a_short_notice_at_the_very_end(name):
+    rng, scanner = random.Random(3), Scanner(TEMPLATES)
+    for _ in range(40):
+        start = " ".join("".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(3, 140)))
+        text = f"{start}.\n{TEMPLATES[name].rstrip(chr(58))}."
+        assert (name, len(start) + 2, len(text) - 1, 0) in [x[:4] for x in scanner.scan(text)]
+
+
+def test_every_template_with_enough_words_is_tried():
+    words = "of the permission and software copyright any conditions all rights reserved".split()
+    scanner = Scanner(TEMPLATES)
+    assert "all-rights-reserved" in scanner.possible(words)
+    assert [x[0] for x in scanner.scan(" ".join(words))] == ["all-rights-reserved"]
