@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.codes import gram_buckets, kinds, segments, spaced
@@ -82,7 +82,9 @@ def fit(train: DataFrame, bits: int = BITS, clusters: int = CLUSTERS, sample: in
     each language, and sample_in_all in all, chosen by a hash of doc_id and text.
     """
     own = train.where("lang is not null and text is not null").select("text", F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("draw"))
-    per = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # a row per language
+    counted = own.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()  # a row per language
+    per = {r["lang"]: r["n"] for r in counted}
+    least = {r["lang"]: r["least"] for r in counted}
     if not per:
         return None
     each = max(1, min(sample, sample_in_all // len(per)))
@@ -100,18 +102,21 @@ def fit(train: DataFrame, bits: int = BITS, clusters: int = CLUSTERS, sample: in
     for r in own.select("text").mapInArrow(frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect():  # 2 ** bits + 1 rows at most
         df[r["bucket"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + np.float32(0.1)
-    # Somewhat more than needed is drawn of each language, and the lowest draws are kept.
-    limit = F.element_at(F.create_map(*(F.lit(x) for lang, n in per.items() for x in (lang, int(min(1.0, (each + 6 * each**0.5) / n) * (1 << 40))))), F.col("lang"))
+    # Somewhat more than needed is drawn of each language, its least draw at any rate, and the lowest draws of each are kept.
+    limit = F.element_at(F.create_map(*(F.lit(x) for lang, n in per.items() for x in (lang, max(least[lang] + 1, int(min(1.0, (each + 6 * each**0.5) / n) * (1 << 40)))))), F.col("lang"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 256):
             rows = [counts(t, bits).astype(np.float32).tobytes() for t in column(b, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(b, "lang"), column(b, "draw"), pa.array(rows, pa.binary())], ["lang", "draw", "tf"])
 
-    drawn = own.where(F.col("draw") < limit).mapInArrow(bags, "lang string, draw long, tf binary").orderBy("lang", "draw").limit(2 * each * len(per) + 100).toPandas()
+    drawn = own.where(F.col("draw") < limit).mapInArrow(bags, "lang string, draw long, tf binary")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    drawn = drawn.withColumn("rank", rank).where(F.col("rank") <= each).toPandas().sort_values(["lang", "rank"])  # `each` rows a language at most
     langs, of, centroids, farthest = sorted(drawn["lang"].unique()), [], [], []
+    assert len(langs) == len(per), "a language without a sample"
     for i, lang in enumerate(langs):
-        tf = np.stack([np.frombuffer(x, np.float32) for x in drawn.loc[drawn["lang"] == lang, "tf"][:each]])
+        tf = np.stack([np.frombuffer(x, np.float32) for x in drawn.loc[drawn["lang"] == lang, "tf"]])
         v = unit(np.sqrt(tf) * idf)
         c = cluster(v, clusters)
         d = 1 - (v @ c.T).max(1)
