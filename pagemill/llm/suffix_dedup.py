@@ -86,7 +86,7 @@ class Shape:
     gram: int = 128
     widths: tuple[int, ...] = (42, 7, 1)
     stretch: int = 1 << 19
-    per_bucket: int = 400_000
+    per_bucket: int = 150_000
 
     def __post_init__(self) -> None:
         if self.gram & self.gram - 1 or self.gram < 8 or not 3 * self.gram <= self.length <= 4 * self.gram or self.length >= 1 << 10 or self.widths[0] > self.length - 2 * self.gram + 1 or self.widths[-1] != 1 or any(a % b for a, b in itertools.pairwise(self.widths)) or self.stretch + 3 * self.length >= 1 << 20:
@@ -157,7 +157,7 @@ def anchored(texts: DataFrame, shape: Shape) -> DataFrame:
     """First level: a record for each anchor of texts (doc_id, text_hash, text)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 2048):
+        for b in pieces(batches, 256):
             raw = [t or b"" for t in raw_texts(b)]
             doc, text = column(b, "doc_id").to_numpy(), column(b, "text_hash").to_numpy()
             group, size, seen = [], 0, {}
@@ -204,7 +204,7 @@ def multikey_order(*keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def classify(records: DataFrame, name: str, per_bucket: int) -> DataFrame:
-    """Of records (lead, core, hull, ids, reach), those whose core is found twice, with `same` (the hull is, too) and `open` (to be split further:
+    """Of records (lead, core, hull, ids, reach) the ids and reach of those whose core is found twice, with `same` (the hull is, too) and `open` (to be split further:
     the core has several hulls, and this is a hull found once or stands for the equal ones).
 
     Records go to buckets between sampled splitters of lead, core, hull and, so that equal ones may be split over buckets, the
@@ -220,18 +220,20 @@ def classify(records: DataFrame, name: str, per_bucket: int) -> DataFrame:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        table = pa.Table.from_batches(held).combine_chunks()
+        table = pa.Table.from_batches(held)
         held.clear()
-        order, (_, cores, hulls) = multikey_order(*(table.column(c).to_numpy() for c in ("lead", "core", "hull")))
+        order, (_, cores, hulls) = multikey_order(*(table.column(c).to_numpy() for c in KEYS))
         core, hull = np.cumsum(cores) - 1, np.cumsum(hulls) - 1
         in_core, in_hull = np.bincount(core)[core], np.bincount(hull)[hull]
         core_edge = (core == 0) | (core == core[-1])
         kept = (in_core > 1) | core_edge
         flags = {"same": in_hull > 1, "several": np.bincount(core, hulls)[core] > 1, "first": hulls, "core_edge": core_edge, "hull_edge": (hull == 0) | (hull == hull[-1])}
-        out = table.take(pa.array(order[kept]))
-        for c, v in flags.items():
-            out = out.append_column(c, pa.array(v[kept]))
-        yield from out.to_batches(max_chunksize=20_000)
+        order, flags = order[kept], {c: v[kept] for c, v in flags.items()}
+        for at in range(0, len(order), 20_000):
+            part = table.take(pa.array(order[at : at + 20_000])).combine_chunks()
+            for c, v in flags.items():
+                part = part.append_column(c, pa.array(v[at : at + 20_000]))
+            yield from part.to_batches()
 
     sorted_ = written(dealt.mapInArrow(bucket, f"{schema}, same boolean, several boolean, first boolean, core_edge boolean, hull_edge boolean"), name)
     # At most two cores and two hulls of each bucket may go on in the next: two rows a bucket are broadcast of either.
@@ -240,7 +242,9 @@ def classify(records: DataFrame, name: str, per_bucket: int) -> DataFrame:
     known = sorted_.join(F.broadcast(cores.where("on_several")), ["lead", "core"], "left").join(F.broadcast(hulls.where("on_same")), ["lead", "core", "hull"], "left")
     same, several = F.col("same") | F.coalesce("on_same", F.lit(False)), F.col("several") | F.coalesce("on_several", F.lit(False))
     known = known.select(*names, same.alias("same"), (several & (~same | F.col("first"))).alias("open"))
-    return known.where("same or open")
+    found = written(known.drop("lead", "core", "hull").where("same or open"), f"{name}-found")
+    forget(sorted_)
+    return found
 
 
 def contexts(texts: DataFrame, found: DataFrame, shape: Shape) -> DataFrame:
@@ -338,24 +342,24 @@ def dedup(docs: DataFrame, shape: Shape = Shape(), with_text: bool = False, carr
 
     Texts are UTF-8 bytes. Each byte in a string of 400 bytes, or the shape's length, that also starts elsewhere, in the
     same text or another, is removed; strings are judged on the input and may overlap. Shorter texts stay whole; null is
-    empty. Rows that are equal are texts of their own, so both lose what they share, which is all of it. A null doc_id is carried
-    along. kept_text leaves out characters of which only some bytes stay. An empty table gives no rows.
+    empty. Rows that are equal are texts of their own, so both lose what they share, which is all of it. A null doc_id stays null;
+    within, it goes by the smallest number, and a row that has that number and the same text has the same spans. kept_text leaves out characters of which only some bytes stay. An empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text.alias("text"), text_hash().alias("text_hash"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
-    joined = texts.join(repeated(texts, shape), ["doc_id", "text_hash"], "left").select("doc_id", "carried", "text", F.col("spans.low").alias("low"), F.col("spans.high").alias("high"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text.alias("text"), text_hash().alias("text_hash"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(f"own_{c}") for c in carry)).alias("carried"))
+    joined = texts.join(repeated(texts, shape), ["doc_id", "text_hash"], "left").select("carried", "text", F.col("spans.low").alias("low"), F.col("spans.high").alias("high"))
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 if with_text else 4]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 512):
+        for b in pieces(batches, 128):
             rows = []
             for t, low, high in zip(raw_texts(b), column(b, "low").to_pylist(), column(b, "high").to_pylist(), strict=True):
                 kept, removed, runs = cut_out(t, list(zip(low, high, strict=True)) if low else [])
                 rows.append((len(t), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
             made = [pa.array(list(v), k) for v, k, _ in zip(zip(*rows, strict=True), kinds, names, strict=False)]
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "carried"), *made], ["doc_id", "carried", *names])
+            yield pa.RecordBatch.from_arrays([column(b, "carried"), *made], ["carried", *names])
 
     carried = joined.schema["carried"].dataType.simpleString()
-    out = joined.mapInArrow(remove, f"doc_id long, carried {carried}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
-    return out.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), *names, *(F.col(f"carried.{c}").alias(c) for c in carry))
+    out = joined.mapInArrow(remove, f"carried {carried}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+    return out.select("carried.doc_id", *names, *(F.col(f"carried.own_{c}").alias(c) for c in carry))
