@@ -54,7 +54,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnowing.fingerprint_characters(documents(spark, sf_dir))
+    return winnowing.fingerprint(documents(spark, sf_dir))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_fingerprints": winnowing.sql()}

@@ -1,196 +1,212 @@
-"""Document fingerprints by winnowing: of characters in Arrow, or of words in DataFrame functions alone."""
+"""Document fingerprints by winnowing the rolling hashes of a text's characters, in DataFrame functions alone."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import column, pieces, written
+from pagemill.llm.shared import text_hash, written
 
-GRAM, WINDOW = 4, 16
-CHARACTERS, SPAN = 5, 8
-_LAST = (1 << 31) - 1
+GRAM, WINDOW, PIECE = 8, 8, 4096
+PRIME, BASE = (1 << 31) - 1, 1_000_003
+LOW = (1 << 32) - 1
+SMALLEST = -(1 << 63)
 
 
-def _step(df: DataFrame, name: str, by: int, f) -> DataFrame:
-    """f of each element and the one `by` places on. Past the end that is null: the tail is cut later, or f skips nulls."""
-    return df.withColumn(name, F.zip_with(name, F.slice(name, by + 1, F.size(name)), lambda x, y: f(x, y)))
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once."""
+    return F.transform(F.array(value), f)[0]
 
 
-def winnowed(df: DataFrame, text: str, name: str, window: int = WINDOW) -> DataFrame:
-    """Adds name, array<long>: the winnowed grams of the text, in order, each its hash's low 32 bits above 31 bits that fall
-    as its position rises, so that a least value is a least hash and, of equal ones, the rightmost.
+def _nothing() -> Column:
+    return F.array().cast("array<bigint>")
 
-    Words are split at ASCII white space. A gram is four words; its hash is built by doubling, from words to pairs to
-    fours, so each position costs two steps. A window's minimum is built by doubling too. A text of fewer words than a gram
-    is one gram; fewer grams than a window are one window. No word: an empty array. Two texts that share
-    GRAM + window - 1 words in a row share a fingerprint. The window must be a power of two.
-    """
-    n = f"{name}_n"
-    out = df.withColumn(name, F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), ""))
-    out = out.withColumn(n, F.size(name))
-    out = out.withColumn(name, F.when(F.col(n) < GRAM, F.when(F.col(n) > 0, F.array(F.array_join(name, " "))).otherwise(F.array().cast("array<string>"))).otherwise(F.col(name)))
-    out = out.withColumn(name, F.transform(name, lambda x: F.xxhash64(x)))
-    out = _step(_step(out, name, 1, F.xxhash64), name, 2, F.xxhash64)
-    grams = F.when(F.col(n) >= GRAM, F.col(n) - (GRAM - 1)).otherwise(F.least(F.lit(1), F.col(n)))
-    pack = lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(0xFFFFFFFF)), 31).bitwiseOR(F.lit(_LAST) - i)
-    out = out.withColumn(n, grams).withColumn(name, F.transform(F.slice(name, F.lit(1), F.col(n)), pack))
+
+def _with_later(values: Column, by: int, f) -> Column:
+    """f of each value and that `by` places on, which is null past the end."""
+    return _let(values, lambda v: F.zip_with(v, F.slice(v, by + 1, F.size(v)), f))
+
+
+def _rolling(times: int):
+    return lambda x, y: (x * F.lit(times).cast("long") + y) % F.lit(PRIME).cast("long")
+
+
+def rolled(codes: Column, gram: int) -> Column:
+    """The polynomial hash modulo PRIME of the `gram` codes from each place on; what the last gram - 1 places hold is to be
+    cut off. Hashes roll by doubling: that of 2 k codes is made of those of k codes at two places, so that each costs three
+    steps for eight codes and is what a hash rolled code by code would be. gram is a power of two."""
+    by = 1
+    while by < gram:
+        codes = _with_later(codes, by, _rolling(pow(BASE, by, PRIME)))
+        by *= 2
+    return codes
+
+
+def minima(packed: Column, window: int) -> Column:
+    """The least value of the `window` values from each place on, or of all that are left. window is a power of two."""
     by = 1
     while by < window:
-        out = _step(out, name, by, F.least)
+        packed = _with_later(packed, by, lambda x, y: F.least(x, y))
         by *= 2
-    return out.withColumn(name, F.array_distinct(F.slice(name, F.lit(1), F.greatest(F.least(F.lit(1), F.col(n)), F.col(n) - (window - 1))))).drop(n)
+    return packed
 
 
-def hashes(grams: str | Column) -> Column:
-    return F.array_distinct(F.transform(grams, lambda x: F.shiftrightunsigned(x, 31)))
+def piece_of(part: Column, first: Column | int, gram: int, window: int) -> Column:
+    """The grams that are winnowed from a short string whose first character is number `first` of its text, in order.
 
+    Each is its hash plus 1 above 32 bits that fall as its position rises, so a least value is a least hash and, of equal
+    ones, the rightmost. A string shorter than a gram is one gram; fewer grams than a window are one window.
+    """
+    first = F.lit(first) if isinstance(first, int) else first
+    pack = lambda h, at: F.shiftleft(h, 32) + (F.lit((1 << 32) + LOW) - at)
+    code = lambda c: F.ascii(c).cast("long")
 
-def as_text(grams: str) -> Column:
-    """hash:position of each gram, the hash as 8 hexadecimal digits, the position as the number of words before it."""
-    part = lambda x: F.concat(F.lower(F.lpad(F.hex(F.shiftrightunsigned(x, 31)), 8, "0")), F.lit(":"), (F.lit(_LAST) - x.bitwiseAND(F.lit(_LAST))).cast("string"))
-    return F.array_join(F.transform(grams, part), " ")
+    def long_enough(chars: Column) -> Column:
+        n = F.size(chars) - (gram - 1)
+        h = F.slice(rolled(F.transform(chars, code), gram), F.lit(1), n)
+        least = minima(F.transform(h, lambda x, i: pack(x, first + i)), window)
+        return F.array_distinct(F.slice(least, F.lit(1), F.greatest(F.lit(1), n - (window - 1))))
 
+    short = lambda chars: F.array(pack(F.aggregate(chars, F.lit(0).cast("long"), lambda a, c: (a * F.lit(BASE) + code(c)) % F.lit(PRIME).cast("long")), first))
+    n = F.length(part)
+    return F.when(n >= gram, _let(F.split(part, ""), long_enough)).when(n > 0, _let(F.split(part, ""), short)).otherwise(_nothing())
 
-def likeness(a: str, b: str) -> Column:
-    """Distinct hashes in both over those in either; 1 for two empty fingerprints."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b))))
 
+def winnowed(text: str, gram: int = GRAM, window: int = WINDOW, piece: int = PIECE) -> Column:
+    """array<long>: the winnowed grams of a column of texts, in order, as piece_of() packs them. The text's windows are dealt to
+    pieces, so that a very long text takes no more memory than its fingerprint."""
+    last = F.greatest(F.lit(1), F.length(text) - (gram + window - 2))
+    count = F.ceil(last / piece).cast("int")
+    own = lambda i: piece_of(F.substring(F.col(text), i * piece + 1, F.lit(piece + gram + window - 2)), i * piece, gram, window)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), count - 1), own)))
 
-def ranged(ids: DataFrame) -> DataFrame:
-    """ids (key long, ..), each key once, with range: keys of a range lie between those of others, and are in one partition."""
-    return written(ids.repartitionByRange("key").withColumn("range", F.spark_partition_id()), "ranges")
 
+def position(x: Column) -> Column:
+    return F.lit(LOW) - x.bitwiseAND(F.lit(LOW))
 
-def followers(in_ranges: DataFrame) -> DataFrame:
-    """ranged() keys with next, the next larger key, or the smallest after the largest.
 
-    Within a range the next key is a window function, and only the least key of each range, a row per partition, meets
-    in one place.
-    """
-    first = in_ranges.groupBy("range").agg(F.min("key").alias("first"))
-    order = Window.orderBy("first")
-    after = first.select("range", F.coalesce(F.lead("first").over(order), F.min("first").over(order)).alias("after"))
-    inside = F.lead("key").over(Window.partitionBy("range").orderBy("key"))
-    return in_ranges.withColumn("next", inside).join(F.broadcast(after), "range").withColumn("next", F.coalesce("next", "after")).drop("range", "after")
+def beginning(grams: str, last: Column, window: int) -> Column:
+    """Those winnowed grams that some window up to number `last` takes: what winnowing gives of the text's beginning.
 
+    A gram that is less than the one taken before is taken as soon as a window reaches it, any other one once windows have
+    left the one before.
+    """
+    before = lambda i: F.get(F.col(grams), i - 1)
+    start = lambda x, i: F.when(i == 0, F.lit(0).cast("long")).when(x < before(i), position(x) - (window - 1)).otherwise(position(before(i)) + 1)
+    return F.filter(grams, lambda x, i: (position(x) <= last) | ((position(x) < last + window) & (start(x, i) <= last)))
 
-def next_texts(base: DataFrame, key: Column) -> DataFrame:
-    """(prev, need, whole): of each key the text that follows it, and how much of it the edit of its longest text takes."""
-    ids = base.groupBy(key.alias("key")).agg(F.floor(F.max(F.length("text")) / 2).cast("int").alias("need"), F.count("*").alias("rows"))
-    ids = ranged(ids)
-    after = base.join(followers(ids).select(F.col("key").alias("prev"), "next", "need"), key == F.col("next")).select("prev", "need", F.col("text").alias("whole"))
-    if ids.where("rows > 1").limit(1).count():
-        after = after.groupBy("prev", "need").agg(F.min("whole").alias("whole"))
-    return after
 
+def hashes(grams: str) -> Column:
+    return F.array_distinct(F.transform(grams, lambda x: F.shiftrightunsigned(x, 32)))
 
-def fingerprint(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per row of docs
-    (doc_id, text; other columns are ignored).
 
-    The edited text has the last half of the code points, rounded down, replaced by the first as many, or all, of the
-    next document by doc_id; after the last comes the first. A null text is empty. A null doc_id counts as the smallest
-    possible number and stays null. Of rows that share a doc_id, each follows the last smaller id and precedes the next
-    larger one, for whose text the smallest of its rows' stands. A single document follows itself. An empty table
-    gives no rows.
+def as_text(grams: str) -> Column:
+    """Each gram as hexadecimal digits: its hash plus 1, and then eight digits of its position, the characters before it."""
+    return F.array_join(F.transform(grams, lambda x: F.hex(x.bitwiseXOR(F.lit(LOW)))), " ")
 
-    Texts move once by their own id; as both joins want the same rows dealt in the same way, one exchange serves both.
-    The beginning that the document before needs, and the fingerprint's hashes, move once more, by that one's id.
-    """
-    base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    after = next_texts(base, key)
-    after = winnowed(after, "whole", "next_grams", window).select("prev", F.substring("whole", F.lit(1), F.col("need")).alias("head"), hashes("next_grams").alias("next_set"))
-    both = base.join(after, key == F.col("prev")).withColumn("n_chars", F.length("text"))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("head", F.lit(1), half)))
-    both = both.withColumn("edited_sha256", F.sha2(F.encode("edited", "utf-8"), 256))
-    both = winnowed(both, "text", "grams", window)
-    both = winnowed(both, "edited", "edited_grams", window)
-    both = both.withColumn("own_set", hashes("grams")).withColumn("edited_set", hashes("edited_grams"))
-    return both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_text("grams").alias("fingerprint"), as_text("edited_grams").alias("edited_fingerprint"), likeness("own_set", "edited_set").alias("near_edited"), likeness("own_set", "next_set").alias("near_next"))
-
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_EMPTY = np.zeros(0, np.int64)
-
-
-def _least(x: np.ndarray, at: int, gram: int, window: int) -> np.ndarray:
-    """The least packed gram of each window of x, whose first gram is the text's gram number `at`."""
-    h = np.full(len(x) - gram + 1, gram, np.uint64)
-    for i in range(gram):
-        h = (h ^ x[i : len(h) + i]) * _MIX
-        h ^= h >> np.uint64(29)
-    m = (h * _MIX >> np.uint64(32)).astype(np.int64) << 31 | (_LAST - at - np.arange(len(h)))
-    by = 1
-    while by < min(window, len(h)):
-        step = min(by, min(window, len(h)) - by)
-        m, by = np.minimum(m[:-step], m[step:]), by + step
-    return m
 
+def likeness(a: str, b: str) -> Column:
+    """Distinct hashes in both over those in either; 1 for two empty fingerprints."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.lit(1), F.size(a) + F.size(b) - both))
 
-def characters(text: str, gram: int = CHARACTERS, window: int = SPAN, at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of 32 bits, position) of each winnowed gram of a text's code points, in order.
 
-    A run of ASCII white space is one blank, and none at the ends. In each window of grams the least hash is taken, of equal
-    ones the rightmost. A text shorter than a gram is one gram; fewer grams than a window are one window; no character: none.
-    Two texts that share gram + window - 1 characters in a row share a fingerprint. A position is the number of
-    code points before the gram.
-    """
-    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    blank = (x == 32) | ((x >= 9) & (x <= 13))
-    if not (solid := np.flatnonzero(~blank)).size:
-        return _EMPTY, _EMPTY
-    kept = ~blank
-    kept[1:] |= ~blank[:-1]
-    places = np.flatnonzero(kept[: solid[-1] + 1])
-    places = places[np.searchsorted(places, solid[0]) :]
-    x = np.where(blank, 32, x)[places].astype(np.uint64)
-    gram = min(gram, len(x))
-    window = min(window, len(x) - gram + 1)
-    reach = gram + window - 2
-    m = np.concatenate([_least(x[i : i + at_once + reach], i, gram, window) for i in range(0, len(x) - reach, at_once)])
-    m = m[np.append(True, m[1:] != m[:-1])]
-    return m >> 31, places[_LAST - (m & _LAST)]
+def in_ranges(base: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """Adds range, the number of the last bound that isn't above (key, mark), and first, whether it is that bound.
 
+    Bounds are searched in two steps of about their square root."""
+    one = lambda b: f"named_struct('key', {b[0]}L, 'mark', {b[1]}L)"
+    step = math.isqrt(len(bounds) - 1) + 1
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    tops = F.expr(f"array({', '.join(one(g[0]) for g in groups)})")
+    inner = F.expr("array(" + ", ".join("array(" + ", ".join(map(one, g)) + ")" for g in groups) + ")")
+    own = F.struct("key", "mark")
+    up_to = lambda a: F.size(F.filter(a, lambda x: x <= own))
+    out = base.withColumn("outer", F.greatest(F.lit(1), up_to(tops)))
+    out = out.withColumn("inner", F.greatest(F.lit(1), up_to(F.element_at(inner, F.col("outer")))))
+    first = F.element_at(F.element_at(inner, F.col("outer")), F.col("inner")) == own
+    return out.withColumn("range", (F.col("outer") - 1) * step + F.col("inner") - 1).withColumn("first", first).drop("outer", "inner")
 
-def shown(hashes: np.ndarray, positions: np.ndarray) -> str:
-    return " ".join(map("%08x:%d".__mod__, zip(hashes.tolist(), positions.tolist(), strict=True)))
 
+def followed(base: DataFrame, grams: Column) -> DataFrame:
+    """Rows of base (key, mark, text, ..), each key and mark once, with grams, next_text and next_grams, those of the next row
+    by key and mark, or of the first row after the last.
 
-def shared(a: set[int], b: set[int]) -> float:
-    """likeness() of sets of hashes."""
-    both = len(a & b)
-    return both / (len(a) + len(b) - both) if a or b else 1.0
+    Keys are dealt to ranges of like size, of which the least keys, a row for each, come to the driver. A range's first
+    row also goes to the range before as its end, so texts move once and the next row is a window function within a range.
+    """
+    spark = base.sparkSession
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = base.select("key", "mark").repartitionByRange(parts, "key", "mark").groupBy(F.spark_partition_id()).agg(F.min(F.struct("key", "mark")).alias("least"))
+    bounds = sorted((r["least"]["key"], r["least"]["mark"]) for r in least.collect()) or [(0, 0)]
+    dealt = in_ranges(base, bounds)
+    here = F.struct(F.col("range").alias("range"), F.lit(False).alias("end"))
+    before = F.struct(F.when(F.col("range") > 0, F.col("range") - 1).otherwise(len(bounds) - 1).alias("range"), F.lit(True).alias("end"))
+    dealt = dealt.withColumn("place", F.explode(F.when(F.col("first"), F.array(here, before)).otherwise(F.array(here)))).select(*base.columns, "place.range", "place.end")
+    order = Window.partitionBy("range").orderBy("end", "key", "mark")
+    rows = dealt.repartition("range").withColumn("grams", grams)
+    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_grams", F.lead("grams").over(order))
+    return rows.where("not end").drop("range", "end")
+
+
+def fingerprint(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per row of docs
+    (doc_id, text; other columns are ignored).
 
+    A gram is `gram` characters in a row, of any kind; its hash is a rolling polynomial. In each window of grams the least
+    hash is kept, of equal ones the rightmost, with its position. Texts that share gram + window - 1 characters in a row
+    share a fingerprint. A text shorter than a gram is one gram; fewer grams than a window are one window; an empty text has none.
 
-def fingerprint_characters(docs: DataFrame, gram: int = CHARACTERS, window: int = SPAN) -> DataFrame:
-    """What fingerprint() gives, with characters() as grams; ids, nulls and the edit are the same.
+    The edited text has the last half of the characters, rounded down, replaced by the first as many, or all, of the next
+    document. Documents are in order of doc_id, a null one as the smallest possible number, and those of one doc_id in
+    order of a hash of their texts; after the last comes the first. A null text is empty. Equal rows count as one in that
+    order and have equal results. A single document follows itself. An empty table gives no rows.
 
-    Texts move once by their own id and once by that of the document before.
+    Each text is winnowed once. What the edited text's fingerprint has of a beginning of either text is told from theirs;
+    only windows across the cut are winnowed anew.
     """
-    base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    both = base.join(next_texts(base, key), key == F.col("prev")).withColumn("n_chars", F.length("text").cast("long"))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("whole", F.lit(1), half)))
-    both = both.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "text", "edited", "whole")
-    kept = ["doc_id", "n_chars", "edited_sha256"]
-
-    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 128):
-            out = []
-            for own, edited, after in zip(*(column(b, c).to_pylist() for c in ("text", "edited", "whole")), strict=True):
-                (h, p), (e, q), (n, _) = (characters(t, gram, window) for t in (own, edited, after))
-                mine = set(h.tolist())
-                out.append((shown(h, p), shown(e, q), shared(mine, set(e.tolist())), shared(mine, set(n.tolist()))))
-            kinds = {"fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
-            by = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in kept), *(pa.array(list(v), k) for v, k in zip(by, kinds.values(), strict=True))], kept + list(kinds))
-
-    return both.mapInArrow(roll, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST)).alias("key"), text_hash().alias("mark"))
+    ids = written(base.groupBy("key", "mark", F.col("doc_id").isNull().alias("missing")).agg(F.count("*").alias("rows")), "ids")
+    if repeated := ids.groupBy("key", "mark").agg(F.sum("rows").alias("rows")).where("rows > 1").limit(1).count():
+        base = base.drop("doc_id").dropDuplicates(["key", "mark"])
+    both = followed(base, winnowed("text", gram, window, piece))
+    reach = gram + window - 1
+    both = both.withColumn("n", F.length("text")).withColumn("half", F.floor(F.col("n") / 2).cast("int"))
+    both = both.withColumn("kept", F.col("n") - F.col("half")).withColumn("taken", F.least("half", F.length("next_text")))
+    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("kept")), F.substring("next_text", F.lit(1), F.col("taken"))))
+    size, low = F.col("kept") + F.col("taken"), F.greatest(F.lit(0), F.col("kept") - (reach - 1))
+    across = piece_of(F.substring("edited", low + 1, F.least(size, F.col("kept") + (reach - 1)) - low), low, gram, window)
+    across = F.when((F.col("taken") == 0) & (size >= reach), _nothing()).otherwise(across)
+    after = F.transform(beginning("next_grams", F.col("taken") - reach, window), lambda x: x - F.col("kept"))
+    both = both.withColumn("edited_grams", F.array_distinct(F.concat(beginning("grams", F.col("kept") - reach, window), across, after)))
+    both = both.withColumn("own_set", hashes("grams")).withColumn("edited_set", hashes("edited_grams")).withColumn("next_set", hashes("next_grams"))
+    if repeated:
+        both = both.join(ids, ["key", "mark"]).withColumn("doc_id", F.when(~F.col("missing"), F.col("key"))).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    return both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), as_text("grams").alias("fingerprint"), as_text("edited_grams").alias("edited_fingerprint"), likeness("own_set", "edited_set").alias("near_edited"), likeness("own_set", "next_set").alias("near_next"))
+
+
+def sql() -> str:
+    """The same as DuckDB's SQL: characters as rows, hashes and minima as window functions."""
+    codes = ", ".join(f"lead(c, {j}) OVER o AS c{j}" if j else "c AS c0" for j in range(GRAM))
+    hashed = "c0"
+    for j in range(1, GRAM):
+        hashed = f"(CASE WHEN c{j} IS NULL THEN {hashed} ELSE ({hashed} * {BASE} + c{j}) % {PRIME} END)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+x AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nx FROM d),
+e AS (SELECT *, left(t, CAST(n - n // 2 AS BIGINT)) || left(nx, CAST(n // 2 AS BIGINT)) AS ed FROM x),
+s AS (SELECT doc_id, 1 AS k, t AS s FROM e UNION ALL SELECT doc_id, 2, ed FROM e),
+c AS (SELECT doc_id, k, length(s) AS n, unnest(list_transform(string_split(s, ''), q -> CAST(unicode(q) AS BIGINT))) AS c, generate_subscripts(string_split(s, ''), 1) - 1 AS i FROM s WHERE s <> ''),
+r AS (SELECT doc_id, k, n, i, {codes} FROM c WINDOW o AS (PARTITION BY doc_id, k ORDER BY i)),
+h AS (SELECT doc_id, k, greatest(1, n - {GRAM - 1}) AS g, i, {hashed} AS h FROM r),
+m AS (SELECT doc_id, k, g, i, min((h + 1) * 4294967296 + {LOW} - i) OVER (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS m FROM h WHERE i < g),
+w AS (SELECT DISTINCT doc_id, k, m FROM m WHERE i <= greatest(0, g - {WINDOW})),
+f AS (SELECT doc_id, k, string_agg(printf('%X%08X', m // 4294967296, {LOW} - m % 4294967296), ' ' ORDER BY {LOW} - m % 4294967296) AS f, list(DISTINCT m // 4294967296) AS hs FROM w GROUP BY ALL),
+j AS (SELECT e.doc_id, n, ed, coalesce(a.f, '') AS fa, coalesce(b.f, '') AS fb, coalesce(a.hs, []) AS ha, coalesce(b.hs, []) AS hb FROM e LEFT JOIN (SELECT * FROM f WHERE k = 1) a USING (doc_id) LEFT JOIN (SELECT * FROM f WHERE k = 2) b USING (doc_id)),
+z AS (SELECT *, coalesce(lead(ha) OVER (ORDER BY doc_id), first_value(ha) OVER (ORDER BY doc_id)) AS hn FROM j),
+y AS (SELECT *, len(list_intersect(ha, hb)) AS ib, len(list_intersect(ha, hn)) AS i_n FROM z)
+SELECT doc_id, n AS n_chars, sha256(ed) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint,
+CASE WHEN len(ha) + len(hb) = 0 THEN 1.0 ELSE ib / (len(ha) + len(hb) - ib)::DOUBLE END AS near_edited,
+CASE WHEN len(ha) + len(hn) = 0 THEN 1.0 ELSE i_n / (len(ha) + len(hn) - i_n)::DOUBLE END AS near_next FROM y"""
+
