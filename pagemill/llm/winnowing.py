@@ -197,7 +197,7 @@ def sql() -> str:
 x AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nx FROM d),
 e AS (SELECT *, left(t, CAST(n - n // 2 AS BIGINT)) || left(nx, CAST(n // 2 AS BIGINT)) AS ed FROM x),
 s AS (SELECT doc_id, 1 AS k, t AS s FROM e UNION ALL SELECT doc_id, 2, ed FROM e),
-c AS (SELECT doc_id, k, length(s) AS n, unnest(list_transform(string_split(s, ''), q -> CAST(unicode(q) AS BIGINT))) AS c, generate_subscripts(string_split(s, ''), 1) - 1 AS i FROM s WHERE s <> ''),
+c AS (SELECT doc_id, k, length(s) AS n, unnest(list_transform(string_split(s, ''), lambda q: CAST(unicode(q) AS BIGINT))) AS c, generate_subscripts(string_split(s, ''), 1) - 1 AS i FROM s WHERE s <> ''),
 r AS (SELECT doc_id, k, n, i, {codes} FROM c WINDOW o AS (PARTITION BY doc_id, k ORDER BY i)),
 h AS (SELECT doc_id, k, greatest(1, n - {GRAM - 1}) AS g, i, {hashed} AS h FROM r),
 m AS (SELECT doc_id, k, g, i, min((h + 1) * 4294967296 + {LOW} - i) OVER (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS m FROM h WHERE i < g),
