@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.shared import text_hash, written
 
 GRAM, WINDOW, PIECE = 8, 8, 4096
-PRIME, BASE = (1 << 31) - 1, 1_000_003
+#: The base's square is under 2 ** 20 modulo PRIME: the first of the steps in rolled() needs no remainder.
+PRIME, BASE = (1 << 31) - 1, 1_000_364
 LOW = (1 << 32) - 1
 SMALLEST = -(1 << 63)
 
@@ -29,8 +30,9 @@ def _with_later(values: Column, by: int, f) -> Column:
     return _let(values, lambda v: F.zip_with(v, F.slice(v, by + 1, F.size(v)), f))
 
 
-def _rolling(times: int):
-    return lambda x, y: (x * F.lit(times).cast("long") + y) % F.lit(PRIME).cast("long")
+def _rolling(times: int, cut: bool):
+    both = lambda x, y: x * F.lit(times).cast("long") + y
+    return (lambda x, y: both(x, y) % F.lit(PRIME).cast("long")) if cut else both
 
 
 def rolled(codes: Column, gram: int) -> Column:
@@ -39,7 +41,7 @@ def rolled(codes: Column, gram: int) -> Column:
     steps for eight codes and is what a hash rolled code by code would be. gram is a power of two."""
     by = 1
     while by < gram:
-        codes = _with_later(codes, by, _rolling(pow(BASE, by, PRIME)))
+        codes = _with_later(codes, by, _rolling(pow(BASE, by, PRIME), by > 1 or gram == 2))
         by *= 2
     return codes
 
@@ -59,17 +61,17 @@ def piece_of(part: Column, first: Column | int, gram: int, window: int) -> Colum
     Each is its hash plus 1 above 32 bits that fall as its position rises, so a least value is a least hash and, of equal
     ones, the rightmost. A string shorter than a gram is one gram; fewer grams than a window are one window.
     """
-    first = F.lit(first) if isinstance(first, int) else first
-    pack = lambda h, at: F.shiftleft(h, 32) + (F.lit((1 << 32) + LOW) - at)
+    top = F.lit((1 << 32) + LOW) - first
+    pack = lambda h, top: F.shiftleft(h, 32) + top
     code = lambda c: F.ascii(c).cast("long")
 
     def long_enough(chars: Column) -> Column:
         n = F.size(chars) - (gram - 1)
         h = F.slice(rolled(F.transform(chars, code), gram), F.lit(1), n)
-        least = minima(F.transform(h, lambda x, i: pack(x, first + i)), window)
+        least = minima(_let(top, lambda top: F.transform(h, lambda x, i: pack(x, top - i))), window)
         return F.array_distinct(F.slice(least, F.lit(1), F.greatest(F.lit(1), n - (window - 1))))
 
-    short = lambda chars: F.array(pack(F.aggregate(chars, F.lit(0).cast("long"), lambda a, c: (a * F.lit(BASE) + code(c)) % F.lit(PRIME).cast("long")), first))
+    short = lambda chars: F.array(pack(F.aggregate(chars, F.lit(0).cast("long"), lambda a, c: (a * F.lit(BASE) + code(c)) % F.lit(PRIME).cast("long")), top))
     n = F.length(part)
     return F.when(n >= gram, _let(F.split(part, ""), long_enough)).when(n > 0, _let(F.split(part, ""), short)).otherwise(_nothing())
 
@@ -95,7 +97,7 @@ def beginning(grams: str, last: Column, window: int) -> Column:
     """
     before = lambda i: F.get(F.col(grams), i - 1)
     start = lambda x, i: F.when(i == 0, F.lit(0).cast("long")).when(x < before(i), position(x) - (window - 1)).otherwise(position(before(i)) + 1)
-    return F.filter(grams, lambda x, i: (position(x) <= last) | ((position(x) < last + window) & (start(x, i) <= last)))
+    return _let(last, lambda last: F.filter(grams, lambda x, i: (position(x) <= last) | ((position(x) < last + window) & (start(x, i) <= last))))
 
 
 def hashes(grams: str) -> Column:
@@ -179,7 +181,7 @@ def fingerprint(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, piece:
     size, low = F.col("kept") + F.col("taken"), F.greatest(F.lit(0), F.col("kept") - (reach - 1))
     across = piece_of(F.substring("edited", low + 1, F.least(size, F.col("kept") + (reach - 1)) - low), low, gram, window)
     across = F.when((F.col("taken") == 0) & (size >= reach), _nothing()).otherwise(across)
-    after = F.transform(beginning("next_grams", F.col("taken") - reach, window), lambda x: x - F.col("kept"))
+    after = _let(F.col("kept"), lambda kept: F.transform(beginning("next_grams", F.col("taken") - reach, window), lambda x: x - kept))
     both = both.withColumn("edited_grams", F.array_distinct(F.concat(beginning("grams", F.col("kept") - reach, window), across, after)))
     both = both.withColumn("own_set", hashes("grams")).withColumn("edited_set", hashes("edited_grams")).withColumn("next_set", hashes("next_grams"))
     if repeated:
