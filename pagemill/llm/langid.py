@@ -79,10 +79,11 @@ def fit(train: DataFrame, bits: int = BITS, clusters: int = CLUSTERS, sample: in
     """A model of train (doc_id, text, lang), whose rows without a lang are left out; None if there are none.
 
     Document frequencies are counted over all rows. Centroids are clustered from at most `sample` documents of
-    each language, and sample_in_all in all, chosen by a hash of doc_id and text.
+    each language, and sample_in_all in all but one of each language at least, chosen by a hash of doc_id and text; rows
+    equal in these count once.
     """
     own = train.where("lang is not null and text is not null").select("text", F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("draw"))
-    counted = own.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()  # a row per language
+    counted = own.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n"), F.min("draw").alias("least")).collect()  # a row per language
     per = {r["lang"]: r["n"] for r in counted}
     least = {r["lang"]: r["least"] for r in counted}
     if not per:
@@ -103,14 +104,15 @@ def fit(train: DataFrame, bits: int = BITS, clusters: int = CLUSTERS, sample: in
         df[r["bucket"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + np.float32(0.1)
     # Somewhat more than needed is drawn of each language, its least draw at any rate, and the lowest draws of each are kept.
-    limit = F.element_at(F.create_map(*(F.lit(x) for lang, n in per.items() for x in (lang, max(least[lang] + 1, int(min(1.0, (each + 6 * each**0.5) / n) * (1 << 40)))))), F.col("lang"))
+    limit = F.element_at(F.create_map(*(F.lit(x) for lang, n in per.items() for x in (lang, max(least[lang] + 1, int(min(1.0, 1.25 * (each + 6 * each**0.5) / n) * (1 << 40)))))), F.col("lang"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 256):
             rows = [counts(t, bits).astype(np.float32).tobytes() for t in column(b, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([column(b, "lang"), column(b, "draw"), pa.array(rows, pa.binary())], ["lang", "draw", "tf"])
 
-    drawn = own.where(F.col("draw") < limit).mapInArrow(bags, "lang string, draw long, tf binary")
+    # Rows that repeat share a draw and count once: copies of one row can't fill the sample.
+    drawn = own.where(F.col("draw") < limit).groupBy("lang", "draw").agg(F.min("text").alias("text")).select("text", "lang", "draw").mapInArrow(bags, "lang string, draw long, tf binary")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     drawn = drawn.withColumn("rank", rank).where(F.col("rank") <= each).toPandas().sort_values(["lang", "rank"])  # `each` rows a language at most
     langs, of, centroids, farthest = sorted(drawn["lang"].unique()), [], [], []

@@ -45,6 +45,19 @@ def bag(text: str, bits: int = BITS) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.int32)
 
 
+def overlapping(text: str, words: int = 2 * HALF) -> Iterator[str]:
+    """segments() of a text, each after the first led by the last words of the one before, so that a window across a cut
+    lies whole in one of them."""
+    last = ""
+    for part in segments(text):
+        yield last + part
+        at = len(part)
+        for _ in range(words):
+            if (at := part.rfind(" ", 0, at)) < 0:
+                break
+        last = part[max(0, at) :]
+
+
 @dataclass
 class Model:
     """weight: what a bucket adds to the logit where it is the text's only one. A window's distinct buckets are averaged,
@@ -73,7 +86,7 @@ class Model:
         return h, window, np.bincount(window, self.weight[h], n) / (np.bincount(window, minlength=n) + PRIOR) + self.bias
 
     def peak(self, text: str | None) -> float:
-        return max((float(self.windows(part)[2].max(initial=-np.inf)) for part in segments(text or "")), default=-np.inf)
+        return max((float(self.windows(part)[2].max(initial=-np.inf)) for part in overlapping(text or "")), default=-np.inf)
 
     def score(self, text: str | None) -> float:
         z = self.peak(text)
@@ -127,8 +140,8 @@ def logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60)
 
 def sampled(labels: DataFrame, each: int) -> tuple[DataFrame, dict[int, int]] | None:
     """At most `each` rows (doc_id, y, draw) of either label, by a hash of doc_id, and how many there are in all; None
-    without both labels."""
-    own = labels.where("y in (0, 1)").select(F.col("doc_id").cast("long"), F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("draw"))
+    without both labels. Rows that repeat count once."""
+    own = labels.where("y in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("draw")).distinct()
     per = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
     if len(per) < 2:
         return None
@@ -141,8 +154,8 @@ def sampled(labels: DataFrame, each: int) -> tuple[DataFrame, dict[int, int]] |
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of docs (doc_id, text) and labels (doc_id, y 0 or 1); None without both labels.
 
-    At most `sample` labels of either kind are drawn, by hash, and at most four times that many documents have them; the bags
-    of these, not their texts, come to the driver. Embeddings and softmax are trained together on the bags of whole
+    At most `sample` labels of either kind are drawn, by hash, and of documents that share a doc_id the least text has the
+    label; the bags of these, not their texts, come to the driver. Embeddings and softmax are trained together on the bags of whole
     texts. A quarter of the sample is kept to make the highest window's logit a probability, either label weighing as
     in the corpus.
     """
@@ -150,13 +163,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         return None
     rows = [tuple(r) for r in found[0].collect()]  # 2 * sample rows at most
     drawn = F.broadcast(docs.sparkSession.createDataFrame(rows, "doc_id long, y int, draw long"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(drawn, "doc_id").select("text", "y", "draw", (F.col("draw") % 4 == 0).alias("kept"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(drawn, "doc_id").groupBy("doc_id", "y", "draw").agg(F.min("text").alias("text"))
+    texts = texts.select("text", "y", "draw", (F.col("draw") % 4 == 0).alias("kept"))
 
     def to_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 128):
             yield pa.RecordBatch.from_arrays([column(b, "y"), column(b, "draw"), pa.array([bag(t or "").tobytes() for t in column(b, "text").to_pylist()], pa.binary())], ["y", "draw", "held"])
 
-    rows = texts.where("not kept").mapInArrow(to_bags, "y int, draw long, held binary").orderBy("draw", "y").limit(4 * sample).toPandas()
+    rows = texts.where("not kept").mapInArrow(to_bags, "y int, draw long, held binary").toPandas()  # 2 * sample rows at most
     rows = rows[rows["held"].str.len() > 0].sort_values(["draw", "y", "held"], kind="stable")
     if rows["y"].nunique() < 2:
         return None
@@ -167,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         for p in pieces(batches, 128):
             yield pa.RecordBatch.from_arrays([column(p, "y"), column(p, "draw"), pa.array([model.peak(t) for t in column(p, "text").to_pylist()])], ["y", "draw", "z"])
 
-    z = texts.where("kept").mapInArrow(peaks, "y int, draw long, z double").orderBy("draw", "y").limit(4 * sample).toPandas()
+    z = texts.where("kept").mapInArrow(peaks, "y int, draw long, z double").toPandas()
     z = z[np.isfinite(z["z"])].sort_values(["z", "y"])
     if z["y"].nunique() == 2:
         per = found[1]
