@@ -1,9 +1,12 @@
-"""What the operators of this package have in common: shared intermediates, readers, grouped Arrow iteration."""
+"""What the operators of this package have in common: shared intermediates, readers, Arrow columns."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -23,9 +26,12 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names none (tests) is one made."""
+    """The folder that driver and executors share. Only where the session names none and all runs in one process, as in
+    tests, is one made: on a cluster, executors would write to disks of their own."""
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
         if not (at := spark.sparkContext.getCheckpointDir()):
+            if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             at = f"file://{tempfile.mkdtemp(prefix='pagemill-')}"
             spark.sparkContext.setCheckpointDir(at)
     return at
@@ -42,18 +48,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_lock, _open = threading.Lock(), {}
+
+
+@contextlib.contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """Sets the clean-up while any thread of the session writes; the last one puts back what was set before."""
+    with _lock:
+        n, before = _open.get(id(spark), (0, spark.conf.get(_CLEANUP, "false")))
+        _open[id(spark)] = n + 1, before
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _open.pop(id(spark))
+            if n > 1:
+                _open[id(spark)] = n - 1, before
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Rows written once as a Parquet table in the shared folder and read back: cuts the lineage so that
     a lost executor costs no more than the tasks it ran, and frees the shuffles it took. forget(), drop_written() or the
     driver's end removes the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/pagemill/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _freeing(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
@@ -111,33 +134,6 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str], at_once: int = 1) -> Iterator[pa.Table]:
-    """Tables of whole groups, from batches sorted by keys: each has all rows of its groups and holds
-    groups until it has at_once rows. What a worker holds is at_once rows, a batch or a group, whichever is most."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        n += batch.num_rows
-        if n < at_once:
-            continue
-        table = pa.Table.from_batches(held)
-        new = np.zeros(n, bool)
-        for k in keys:
-            v = table.column(k).to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        if not (starts := np.flatnonzero(new)).size:
-            continue
-        cut = int(starts[-1])
-        yield table.slice(0, cut).combine_chunks()
-        rest = table.slice(cut).combine_chunks().to_batches()
-        held, n = rest, n - cut
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def starts_of(*arrays: np.ndarray) -> np.ndarray:
     """Where a new combination of values begins in sorted arrays of one length."""
     if not len(arrays[0]):

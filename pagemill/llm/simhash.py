@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import connected_components
-from pagemill.llm.shared import column, pieces, raw_texts, runs, starts_of, text_hash, written
+from pagemill.llm.shared import column, pieces, raw_texts, starts_of, text_hash, written
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+BLOCKS = (4, 8, 16, 32)
 BYTE = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
 
@@ -49,7 +50,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
 
 def _offsets(blocks: int, radius: int) -> list[tuple[int, ...]]:
     """Differences of block population counts that fingerprints within the radius can have, one of each opposite pair."""
-    return [d for d in itertools.product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, d)) <= radius and d >= (0,) * blocks]
+    found = [()]
+    for _ in range(blocks):
+        found = [(*d, x) for d in found for left in [radius - sum(map(abs, d))] for x in range(-left, left + 1)]
+    return [d for d in found if d >= (0,) * blocks]
 
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int, label: np.ndarray, la: np.ndarray, lb: np.ndarray, rows: int = 256, cols: int = 4096) -> None:
@@ -69,45 +73,77 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int, label: np.ndarray, la: np
                     label[:] = deeper
 
 
-def links(nodes: DataFrame, radius: int = 2, blocks: int = 4, tile: int = 2048) -> DataFrame:
-    """nodes (fp long, node long), each fp once -> edges (u, v) of nodes that join all that differ in radius
-    bits or fewer, not every such pair.
-
-    A fingerprint lies in the cell of its blocks' population counts. Fingerprints within the radius lie in cells
-    whose counts differ by the radius in sum, so all other pairs of cells are skipped; what is left is compared
-    whole by exclusive-or and bit counts, in tiles. A full cell is dealt to several tasks of about `tile` rows,
-    each of which meets the neighbouring cells. A task's matches leave it as a spanning forest.
-    """
+def cells(nodes: DataFrame, blocks: int) -> DataFrame:
+    """Adds cell: the population counts of so many blocks of fp, as one number."""
     width = 64 // blocks
-    base = width + 1
-    count = lambda i: F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1)))
-    celled = nodes.withColumn("cell", sum((count(i) * base**i for i in range(blocks)), F.lit(0).cast("long")))
+    count = lambda i: F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1))).cast("long")
+    return nodes.withColumn("cell", sum((count(i) * (width + 1) ** i for i in range(blocks)), F.lit(0).cast("long")))
+
+
+def blocks_for(nodes: DataFrame, radius: int, tile: int) -> int:
+    """The number of blocks that moves the fewest rows: more blocks make more cells, so that fewer have to be split in
+    tiles, but each has more neighbours. The result of links() is the same for any."""
+    best = None
+    for blocks in BLOCKS:
+        sizes = cells(nodes, blocks).groupBy("cell").agg(F.count("*").alias("n"))
+        n, moved = sizes.agg(F.sum("n"), F.sum(F.col("n") * F.ceil(F.col("n") / tile))).first()
+        cost = len(_offsets(blocks, radius)) * (moved or 0)
+        if best is None or cost < best[0]:
+            best = cost, blocks
+        if moved == n or not n:  # no cell is split: more blocks only add neighbours
+            break
+    return best[1]
+
+
+def dealt(nodes: DataFrame, radius: int, blocks: int, tile: int) -> DataFrame:
+    """(cell, part, home, fp, node): each cell's own rows, dealt to parts of about `tile` rows, and for each part the rows of
+    the cell's neighbours and of the cell itself."""
+    celled, base = cells(nodes, blocks), 64 // blocks + 1
     sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     if base**blocks <= 100_000:
         sizes = F.broadcast(sizes)  # at most base ** blocks rows of 12 bytes
     home = celled.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("fp"), "parts").cast("int").alias("part"), F.lit(True).alias("home"), "fp", "node")
     # Counts that leave 0..width would name another cell; such rows meet fingerprints in vain, which is harmless.
     steps = F.array(*(F.lit(sum(x * base**i for i, x in enumerate(d))).cast("long") for d in _offsets(blocks, radius)))
-    guest = celled.select("fp", "node", F.explode(F.transform(steps, lambda s: s + F.col("cell"))).alias("cell")).join(sizes, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("home"), "fp", "node")
-    both = home.unionByName(guest).repartition("cell", "part").sortWithinPartitions("cell", "part")
+    guest = celled.select("fp", "node", F.explode(F.transform(steps, lambda s: s + F.col("cell"))).alias("cell")).join(sizes, "cell")
+    guest = guest.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("home"), "fp", "node")
+    return home.unionByName(guest)
+
+
+def links(nodes: DataFrame, radius: int = 2, blocks: int | None = None, tile: int = 8192, chunk: int = 8192) -> DataFrame:
+    """nodes (fp long, node long), each fp once -> edges (u, v) of nodes that join all that differ in radius
+    bits or fewer, not every such pair; loops may be among them.
+
+    A fingerprint lies in the cell of its blocks' population counts. Fingerprints within the radius lie in cells
+    whose counts differ by the radius in sum, so all other pairs of cells are skipped; what is left is compared
+    whole by exclusive-or and bit counts, in tiles. A full cell is dealt to several parts of about `tile` rows. A worker
+    holds one part's own rows, which come first, and meets `chunk` rows of the neighbouring cells at a time. The matches
+    of a chunk leave it as a spanning forest.
+    """
+    both = dealt(nodes, radius, blocks or blocks_for(nodes, radius, tile), tile)
+    both = both.repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("home").desc())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["cell", "part"], 20_000):
-            cell, part, fp, node, here = (t.column(c).to_numpy() for c in ("cell", "part", "fp", "node", "home"))
-            at = np.append(starts_of(cell, part), len(cell))
-            us, vs = [], []
+        key, f, n, label = None, *(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
+        for b in batches:
+            cell, part, fp, node, here = (column(b, c).to_numpy(zero_copy_only=False) for c in ("cell", "part", "fp", "node", "home"))
+            at = np.append(starts_of(cell, part, here), len(cell))
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s, e in itertools.pairwise(at):
-                f, n, h = fp[s:e].view(np.uint64), node[s:e], here[s:e].astype(bool)
-                order = np.argsort(n, kind="stable")
-                f, n, h = f[order], n[order], h[order]
-                label = np.arange(len(n))
-                same = starts_of(n)
-                label = np.repeat(same, np.diff(np.append(same, len(n))))
-                a, b = np.flatnonzero(h), np.flatnonzero(~h)
-                _forest(f[a], f[b], radius, label, a, b)
-                joined = n[label] != n
-                us.append(n[joined])
-                vs.append(n[label[joined]])
+                own, x, y = (cell[s], part[s]), fp[s:e].view(np.uint64), node[s:e]
+                if here[s]:
+                    f, n = (np.concatenate([f, x]), np.concatenate([n, y])) if own == key else (x.copy(), y.copy())
+                    key, label = own, np.arange(len(n))
+                elif own == key:  # else a cell without rows of its own
+                    for i in range(0, len(x), chunk):
+                        g, m = x[i : i + chunk], np.concatenate([n, y[i : i + chunk]])
+                        label = np.concatenate([label, np.arange(len(n), len(m))])
+                        before = label.copy()
+                        _forest(f, g, radius, label, np.arange(len(n)), np.arange(len(n), len(m)))
+                        joined = label != before
+                        us.append(m[joined])
+                        vs.append(m[label[joined]])
+                        label = label[: len(n)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
     return both.mapInArrow(compare, "u long, v long")

@@ -2,6 +2,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pagemill.llm import simhash
 from pagemill.llm.components import connected_components
@@ -68,6 +69,43 @@ def test_tiles_are_split_and_complete(spark):
         assert {i: got.get(i, i) for i in want} == want
 
 
+def test_cells_of_many_parts(spark):
+    rng = __import__("random").Random(2)
+
+    def balanced():  # four blocks of eight bits set each, so that all lie in one cell
+        return sum(1 << (16 * b + i) for b in range(4) for i in rng.sample(range(16), 8))
+
+    def moved(f):  # one bit to another place of its block: two bits differ
+        b = 16 * rng.randrange(4)
+        i, j = (rng.choice([k for k in range(b, b + 16) if (f >> k & 1) == v]) for v in (1, 0))
+        return f ^ 1 << i ^ 1 << j
+
+    fps = {balanced() for _ in range(120)}
+    for _ in range(3):
+        fps |= {moved(f) for f in list(fps)[:140]}
+    fps = sorted(fps)
+    df = spark.createDataFrame([(f - 2**64 if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, node long")
+    tile = len(fps) // 60
+    own = simhash.dealt(df, 2, 4, tile).where("home")
+    assert own.select("cell").distinct().count() == 1 and own.select("part").distinct().count() >= 50
+    want = components_of(dict(enumerate(fps)), 2)
+    assert len(set(want.values())) < len(fps) - 100
+    for blocks, chunk in ((4, 3), (4, 8192), (None, 8192)):
+        got = dict(connected_components(simhash.links(df, 2, blocks, tile, chunk)).collect())
+        assert {i: got.get(i, i) for i in want} == want
+
+
+def test_rows_moved_follow_the_fingerprints(spark):
+    """With cells that fill up, more blocks are taken: rows moved stay in proportion."""
+    def each(n, tile):
+        nodes = spark.range(n).select(F.xxhash64("id").alias("fp"), F.col("id").alias("node"))
+        return simhash.blocks_for(nodes, 2, tile), simhash.dealt(nodes, 2, simhash.blocks_for(nodes, 2, tile), tile).count() / n
+
+    (few, a), (more, b) = each(2_000, 64), each(200_000, 16)
+    assert few < more and b < 100 and a < 100, (few, a, more, b)
+    assert each(200_000, 8192)[1] < 23
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 100), (7, 7), (200, 150)]
     got = dict(connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
