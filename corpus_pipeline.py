@@ -13,6 +13,8 @@ from pagemill.llm.shared import documents, text_hash, written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Suffix hashes and counts of words are no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
+#: Some 50 words of four letters and a blank are 250 bytes: shorter than any passage of 50 words that is likely to recur.
+PASSAGE = suffix_dedup.Shape(length=256, gram=64, widths=(30, 5, 1))
 
 
 def same_row(docs: DataFrame, of: DataFrame) -> Column:
@@ -43,8 +45,8 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without its bytes in strings of 400 that recur; none is dropped, though some may be left empty."""
-    out = suffix_dedup.dedup(docs, with_text=True, carry=("lang", "source"))
+    """Every document without its bytes in strings of PASSAGE that recur; none is dropped, though some may be left empty."""
+    out = suffix_dedup.dedup(docs, PASSAGE, with_text=True, carry=("lang", "source"))
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
