@@ -121,3 +121,27 @@ def judge(docs: DataFrame, spreads: float = SPREADS, least: int = LEAST) -> Data
         broken.append(F.when(bad & ~F.col("base_failed"), F.lit(name)))
     joined = joined.withColumn("failed_rules", F.array_compact(F.array(*broken)))
     return joined.select("doc_id", "lang", "source", "text_hash", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")
+
+
+def sql(spreads: float = SPREADS, least: int = LEAST) -> str:
+    """What op6 returns, as DuckDB's SQL."""
+    values = ", ".join(f"('{name}', {a} * {scale} // greatest(1, {b}))" for name, a, b, scale, *_ in RULES)
+    slack = "CASE rule " + " ".join(f"WHEN '{name}' THEN {least_}" for name, *_, least_ in RULES) + " END"
+    fence = lambda keys: f"""SELECT {keys}, rule, "all" AS docs, q2 + greatest({slack}, {spreads} * (q3 - q2)) AS high, q2 - greatest({slack}, {spreads} * (q2 - q1)) AS low
+FROM (SELECT {keys}, rule, any_value("all") AS "all", {", ".join(f"min(CASE WHEN up_to * 4 >= {q} * \"all\" THEN bucket END) AS q{q}" for q in (1, 2, 3))} FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}, rule ORDER BY bucket) AS up_to, sum(n) OVER (PARTITION BY {keys}, rule) AS "all" FROM (SELECT {keys}, rule, bucket, count(*) AS n FROM good GROUP BY ALL)) GROUP BY ALL)"""
+    both = "'" + "', '".join(name for name, _, _, _, side, _ in RULES if side == "both") + "'"
+    order = "CASE x.rule " + " ".join(f"WHEN '{name}' THEN {i}" for i, (name, *_) in enumerate(RULES)) + " END"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '-') AS lang_tag, coalesce('=' || source, '-') AS source_tag, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM d),
+g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w),
+tw AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rp AS (SELECT r, count(DISTINCT i + j) AS n FROM tw, range(3) q(j) GROUP BY r),
+m AS (SELECT w.r, doc_id, lang_tag, source_tag, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rp.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!?]', '', 'g')) AS n_marks FROM w LEFT JOIN rp USING (r)),
+s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+v AS (SELECT r, lang_tag, source_tag, x.rule, x.v FROM (SELECT *, unnest([{", ".join("{'rule': " + part[1:].split(",")[0] + ", 'v': " + part[:-1].split(", ", 1)[1] + "}" for part in values.replace("), (", ")@(").split("@"))}]) AS x FROM s WHERE NOT base_failed)),
+good AS (SELECT *, (v >> greatest(0, length(bin(v)) - 5)) << greatest(0, length(bin(v)) - 5) AS bucket, 0 AS every FROM v),
+fa AS ({fence("lang_tag, source_tag")}), fb AS ({fence("lang_tag")}), fc AS ({fence("every")}),
+b AS (SELECT v.r, x.rule, {order} AS nth FROM v JOIN fa x USING (lang_tag, source_tag, rule) JOIN fb USING (lang_tag, rule) JOIN fc USING (rule)
+WHERE v.v > CASE WHEN x.docs >= {least} THEN x.high WHEN fb.docs >= {least} THEN fb.high ELSE fc.high END OR (rule IN ({both}) AND v.v < CASE WHEN x.docs >= {least} THEN x.low WHEN fb.docs >= {least} THEN fb.low ELSE fc.low END)),
+f AS (SELECT r, string_agg(rule, ',' ORDER BY nth) AS failed FROM b GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed_rules FROM s LEFT JOIN f USING (r)"""

@@ -38,7 +38,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(documents(spark, sf_dir)).select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept", "failed_rules")
+    return quality_rules.judge(documents(spark, sf_dir)).select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_fingerprints": winnowing.sql()}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality_rules.sql(), "op8_fingerprints": winnowing.sql()}

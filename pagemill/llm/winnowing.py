@@ -133,14 +133,14 @@ def in_ranges(base: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
 
 
 def followed(base: DataFrame, grams: Column) -> DataFrame:
-    """Rows of base (key, mark, text, ..), each key and mark once, with grams, next_text and next_grams, those of the next row
-    by key and mark, or of the first row after the last.
+    """Rows of base (key, mark, text, ..), each key and mark once, with grams and own_set, their hashes, and next_text,
+    next_grams and next_set, those of the next row by key and mark, or of the first row after the last.
 
     Keys are dealt to ranges of like size, of which the least keys, a row for each, come to the driver. A range's first
     row also goes to the range before as its end, so texts move once and the next row is a window function within a range.
     """
     spark = base.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 12 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     least = base.select("key", "mark").repartitionByRange(parts, "key", "mark").groupBy(F.spark_partition_id()).agg(F.min(F.struct("key", "mark")).alias("least"))
     bounds = sorted((r["least"]["key"], r["least"]["mark"]) for r in least.collect()) or [(0, 0)]
     dealt = in_ranges(base, bounds)
@@ -149,7 +149,8 @@ def followed(base: DataFrame, grams: Column) -> DataFrame:
     dealt = dealt.withColumn("place", F.explode(F.when(F.col("first"), F.array(here, before)).otherwise(F.array(here)))).select(*base.columns, "place.range", "place.end")
     order = Window.partitionBy("range").orderBy("end", "key", "mark")
     rows = dealt.repartition("range").withColumn("grams", grams)
-    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_grams", F.lead("grams").over(order))
+    rows = rows.withColumn("own_set", hashes("grams"))
+    rows = rows.select("*", *(F.lead(c).over(order).alias(n) for c, n in (("text", "next_text"), ("grams", "next_grams"), ("own_set", "next_set"))))
     return rows.where("not end").drop("range", "end")
 
 
@@ -183,7 +184,7 @@ def fingerprint(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, piece:
     across = F.when((F.col("taken") == 0) & (size >= reach), _nothing()).otherwise(across)
     after = _let(F.col("kept"), lambda kept: F.transform(beginning("next_grams", F.col("taken") - reach, window), lambda x: x - kept))
     both = both.withColumn("edited_grams", F.array_distinct(F.concat(beginning("grams", F.col("kept") - reach, window), across, after)))
-    both = both.withColumn("own_set", hashes("grams")).withColumn("edited_set", hashes("edited_grams")).withColumn("next_set", hashes("next_grams"))
+    both = both.withColumn("edited_set", hashes("edited_grams"))
     if repeated:
         both = both.join(ids, ["key", "mark"]).withColumn("doc_id", F.when(~F.col("missing"), F.col("key"))).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
     return both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), as_text("grams").alias("fingerprint"), as_text("edited_grams").alias("edited_fingerprint"), likeness("own_set", "edited_set").alias("near_edited"), likeness("own_set", "next_set").alias("near_next"))

@@ -103,3 +103,23 @@ def test_equal_rows_are_mixed_as_often_as_taken(spark, tables):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_passages_of_fifty_words_are_cut(spark, tmp_path):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passages = [prose(rng.randint(51, 60)) for _ in range(12)]
+    assert max(map(len, passages)) < 450
+    rows = []
+    for i in range(60):
+        t = f"{prose(80)}\n{passages[i % 12]}\n{prose(80)}" if i < 36 else prose(160)
+        rows.append((i, t, "en", "a", len(t)))
+    cut = corpus_pipeline.STAGES[2][1]
+    got = {r.doc_id: r.text for r in cut(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path)).collect()}
+    for i, t, *_ in rows:
+        if i < 36:
+            middle = " ".join(passages[i % 12].split()[5:45])
+            assert middle not in got[i] and len(got[i]) > 0.6 * len(t) - len(passages[i % 12])
+        else:
+            assert got[i] == t
