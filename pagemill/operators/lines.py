@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.numbers import rounded
 from pagemill.functions.text import JAPANESE, JAPANESE_OR_PUNCTUATION, by_script, collapse_japanese_spaces, is_page_number, strip, visible
 
 PAGE = ["book", "page"]
@@ -59,24 +60,24 @@ def line_metrics(lines: DataFrame) -> DataFrame:
     """lines with text, characters, confidence (2 places, 0 if none is known) and suspicious_ratio (0 for an empty line)."""
     out = lines.withColumn("_marked", F.array_join(F.col("words")["text"], "\x01")).withColumn("text", _normal("_marked")).drop("_marked")
     out = out.withColumn("_visible", visible("text")).withColumn("characters", F.length("_visible"))
-    return out.withColumn("confidence", F.round(F.coalesce(mean_confidence(), F.lit(0.0)), 2)).withColumn("suspicious_ratio", suspicion("_visible", 0.0)).drop("_visible")
+    return out.withColumn("confidence", rounded(F.coalesce(mean_confidence(), F.lit(0.0)), 2)).withColumn("suspicious_ratio", suspicion("_visible", 0.0)).drop("_visible")
 
 
 def page_metrics(measured: DataFrame) -> DataFrame:
     """(book, page, line_count, character_count, mean_confidence, suspicious_ratio, score) of measured lines that have words.
 
-    Means are of rounded line values; a page without characters has ratio 1. The score, 0 to 100, is a hundred times the
+    Means are of rounded line values, the confidence's to 2 places and the ratio's to 4; a page without characters has ratio 1. The score, 0 to 100, is a hundred times the
     confidence, at most 8 more for length, less 25 times the suspicious ratio.
     """
     shown = F.col("characters") > 0
     per = measured.where(F.size("words") > 0).groupBy(*PAGE).agg(
         F.count("*").alias("line_count"),
         F.sum("characters").alias("character_count"),
-        F.coalesce(F.avg(F.when(shown, F.col("confidence"))), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.try_divide(F.sum(F.col("suspicious_ratio") * F.col("characters")), F.sum("characters")), F.lit(1.0)).alias("odd"),
+        F.coalesce(F.try_divide(F.sum(F.when(shown, F.rint(F.col("confidence") * 100))) / 100, F.count_if(shown)), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.try_divide(F.sum(F.rint(F.col("suspicious_ratio") * F.col("characters"))), F.sum("characters")), F.lit(1.0)).alias("odd"),
     )
     score = 100 * F.col("mean") + F.least(F.lit(8.0), F.col("character_count") / 80) - 25 * F.col("odd")
-    return per.select(*PAGE, "line_count", "character_count", F.round("mean", 4).alias("mean_confidence"), F.round("odd", 4).alias("suspicious_ratio"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 2).alias("score"))
+    return per.select(*PAGE, "line_count", "character_count", rounded(F.col("mean"), 2).alias("mean_confidence"), rounded(F.col("odd"), 4).alias("suspicious_ratio"), rounded(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 2).alias("score"))
 
 
 def retry_decision(metrics: DataFrame, mode: int = 6) -> DataFrame:

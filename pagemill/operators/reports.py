@@ -1,22 +1,29 @@
-"""Roll-ups of page reports (book, page, engine, retried, removed_lines, corrections, review_candidates, metrics)."""
+"""Roll-ups of page reports (book, page, engine, retried, counters, corrections, review_candidates, metrics)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COUNTERS = ("line_count", "character_count", "removed_lines")
+#: What is summed over pages; a page, or a table, without one counts as 0.
+COUNTERS = ("filtered_lines", "filtered_non_narrative_lines", "manga_regions_detected", "manga_regions_accepted", "filtered_figure_lines", "filtered_list_markers", "reordered_elements", "retried_lines")
 
 
-def rollup(pages: DataFrame, counters: tuple[str, ...] = COUNTERS, by: tuple[str, ...] = ("book",)) -> DataFrame:
-    """(*by, pages, retried_pages, sums of the counters, candidates, automated_checks_passed, verified_error_free).
+def rollup(pages: DataFrame, post: DataFrame | None = None, counters: tuple[str, ...] = COUNTERS, by: tuple[str, ...] = ("book",)) -> DataFrame:
+    """(*by, pages, retried_pages, sums of the counters, candidates, post_candidates, automated_checks_passed, verified_error_free).
 
-    The checks pass if no page has a candidate for review. Nothing is ever verified to be free of errors.
+    post has a row (*by) for each candidate that the validation of the finished text found. The checks pass if neither a
+    page nor that has a candidate for review. Nothing is ever verified to be free of errors.
     """
-    sums = [F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in counters]
+    sums = [(F.sum(F.coalesce(F.col(c), F.lit(0))) if c in pages.columns else F.lit(0)).cast("long").alias(c) for c in counters]
     open_ = F.sum(F.size(F.coalesce("review_candidates", F.expr("array()")))).alias("candidates")
     out = pages.groupBy(*by).agg(F.count("*").alias("pages"), F.count_if(F.coalesce("retried", F.lit(False))).alias("retried_pages"), *sums, open_)
-    return out.withColumn("automated_checks_passed", F.col("candidates") == 0).withColumn("verified_error_free", F.lit(False))
+    if post is None:
+        out = out.withColumn("post_candidates", F.lit(0).cast("long"))
+    else:
+        found = post.groupBy(*by).agg(F.count("*").alias("post_candidates"))
+        out = out.join(found, list(by), "left").withColumn("post_candidates", F.coalesce("post_candidates", F.lit(0).cast("long")))
+    return out.withColumn("automated_checks_passed", (F.col("candidates") == 0) & (F.col("post_candidates") == 0)).withColumn("verified_error_free", F.lit(False))
 
 
 def engine_histogram(pages: DataFrame, by: tuple[str, ...] = ("book",), default: str = "tesseract") -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions.numbers import sql_rounded
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,5 +41,5 @@ l1 AS (SELECT *, CAST(n // 5 AS INT) AS block_no, CAST(n AS INT) AS line_no, CAS
 l2 AS (SELECT *, "left" + 80 + (n * 37) % 400 AS "right", "top" + 14 + (page + n * 5) % 23 AS bottom, string_split(line, ' ') AS w FROM l1),
 l3 AS (SELECT *, list_filter(list_transform(w, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ws, list_transform(w, lambda x, i: ((page * 31 + n * 17 + (i - 1) * 5) % 64) / 64.0) AS cs FROM l2),
 l AS (SELECT book, page, block_no, line_no, "left", "top", "right", bottom, regexp_replace(array_to_string(ws, ' '), '^\s+|\s+$', '', 'g') AS text, cs FROM l3),
-m AS (SELECT *, length(regexp_replace(text, '\s', '', 'g')) AS characters, round(CAST(list_sum(cs) / len(cs) AS DECIMAL(20, 12)), 2)::DOUBLE AS confidence,
+m AS (SELECT *, length(regexp_replace(text, '\s', '', 'g')) AS characters, """ + sql_rounded("list_sum(cs) / len(cs)", 2) + r""" AS confidence,
   coalesce(length(regexp_replace(regexp_replace(text, '\s', '', 'g'), '[A-Za-z0-9、。，．・：；！？「」『』（）［］【】〈〉《》〔〕｛｝.,:;!?()\[\]{}<>+\-/%&@#''"]', '', 'g')) / nullif(length(regexp_replace(text, '\s', '', 'g')), 0), 0.0) AS suspicious_ratio FROM l)"""

@@ -172,7 +172,7 @@ def process_pages(primary: DataFrame, images: DataFrame | None = None, options:
         counts.append(_count(markers, "filtered_list_markers"))
     if not comic:
         ordered = settled(lines.reading_order(own))
-        counts.append(ordered.groupBy(*PAGE).agg(F.count_if("moved").alias("reordered_lines")))
+        counts.append(ordered.groupBy(*PAGE).agg(F.count_if("moved").alias("reordered_elements")))
         own = ordered.withColumn("block_no", F.lit(0)).withColumn("line_no", F.col("place").cast("int")).select(*columns)
     made = None
 

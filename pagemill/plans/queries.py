@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
+from pagemill.functions.numbers import sql_rounded
 from pagemill.functions.rules import Correction, Review
 from pagemill.operators import books, corrections, layout, lines, pixels, reports
 from pagemill.plans import corpus
@@ -148,8 +149,8 @@ def measured(spark, sf_dir):
 
 
 PAGE_METRICS = SQL_LINES + """,
-g AS (SELECT book, page, count(*) AS line_count, sum(characters)::BIGINT AS character_count, coalesce(sum(CASE WHEN characters > 0 THEN CAST(confidence * 100 AS BIGINT) END) / count(CASE WHEN characters > 0 THEN 1 END) / 100.0, 0.0) AS mean, coalesce(sum(suspicious_ratio * characters) / nullif(sum(characters), 0), 1.0) AS odd FROM m GROUP BY book, page),
-pm AS (SELECT book, page, line_count, character_count, round(round(CAST(mean AS DECIMAL(20, 10)), 4), 3)::DOUBLE AS mean_confidence, round(round(CAST(odd AS DECIMAL(20, 10)), 4), 3)::DOUBLE AS suspicious_ratio FROM g)"""
+g AS (SELECT book, page, count(*) AS line_count, sum(characters)::BIGINT AS character_count, coalesce(sum(CASE WHEN characters > 0 THEN CAST(confidence * 100 AS BIGINT) END)::DOUBLE / 100.0::DOUBLE / count(CASE WHEN characters > 0 THEN 1 END)::DOUBLE, 0.0) AS mean, coalesce(sum(CAST(suspicious_ratio * characters AS BIGINT))::DOUBLE / nullif(sum(characters), 0)::DOUBLE, 1.0) AS odd FROM m GROUP BY book, page),
+pm AS (SELECT book, page, line_count, character_count, """ + sql_rounded("mean", 2) + """ AS mean_confidence, """ + sql_rounded("odd", 4) + """ AS suspicious_ratio, """ + sql_rounded("greatest(0.0, least(100.0, 100 * mean + least(8.0, character_count / 80.0) - 25 * odd))", 2) + """ AS score FROM g)"""
 
 
 @query(f"WITH {SQL_LINES} SELECT book, page, line_no, text, characters, confidence, round(suspicious_ratio, 6) AS suspicious_ratio FROM m")
@@ -159,8 +160,7 @@ def line_metrics(spark, sf_dir):
 
 @query(f"WITH {PAGE_METRICS} SELECT * FROM pm")
 def page_metrics(spark, sf_dir):
-    out = lines.page_metrics(measured(spark, sf_dir))
-    return out.select("book", "page", "line_count", "character_count", F.round("mean_confidence", 3).alias("mean_confidence"), F.round("suspicious_ratio", 3).alias("suspicious_ratio"))
+    return lines.page_metrics(measured(spark, sf_dir)).select("book", "page", "line_count", "character_count", "mean_confidence", "suspicious_ratio", "score")
 
 
 @query("""WITH g AS (SELECT doc_id AS page, len(string_split(text, chr(10))) AS line_count, length(text) AS character_count, (doc_id * 37 % 100) / 100.0 AS mean_confidence, (doc_id * 11 % 30) / 100.0 AS suspicious_ratio FROM documents)
@@ -327,20 +327,20 @@ def title_filter(spark, sf_dir):
     return layout.title_lines(own).select("book", "page", "line_no", "kept")
 
 
-@query(f"""WITH {SQL_LINES}, mk AS (SELECT * FROM l WHERE line_no % 4 = 1), pr AS (SELECT mk.book, mk.page, mk.line_no, f.line_no AS f_line_no, f."left" - mk."right" + abs((f."top" + f.bottom) / 2 - (mk."top" + mk.bottom) / 2) AS d, abs((f."top" + f.bottom) / 2 - (mk."top" + mk.bottom) / 2) AS apart, mk.bottom - mk."top" AS h, f.bottom - f."top" AS fh, f.block_no AS fb
+@query(f"""WITH {SQL_LINES}, mk AS (SELECT * FROM l), pr AS (SELECT mk.book, mk.page, mk.line_no, f.line_no AS f_line_no, f."left" - mk."right" + abs((f."top" + f.bottom) / 2 - (mk."top" + mk.bottom) / 2) AS d, abs((f."top" + f.bottom) / 2 - (mk."top" + mk.bottom) / 2) AS apart, mk.bottom - mk."top" AS h, f.bottom - f."top" AS fh, f.block_no AS fb
 FROM (SELECT * REPLACE ("left" + 8 AS "right") FROM mk) mk JOIN l f ON mk.book = f.book AND mk.page = f.page AND mk.line_no <> f.line_no WHERE f."left" > mk."right"),
 be AS (SELECT * FROM pr WHERE apart <= greatest(0.55 * h, 0.75 * fh) QUALIFY row_number() OVER (PARTITION BY book, page, line_no ORDER BY d, fb, f_line_no) = 1)
 SELECT mk.book, mk.page, mk.line_no, f_line_no, d AS distance FROM mk LEFT JOIN be USING (book, page, line_no)""")
 def nearest_follower(spark, sf_dir):
     own = corpus.lines(spark, sf_dir).drop("words")
-    markers = own.where("line_no % 4 = 1").withColumn("right", F.col("left") + 8)
+    markers = own.withColumn("right", F.col("left") + 8)
     return layout.nearest_follower(markers, own).select("book", "page", "line_no", "f_line_no", "distance")
 
 
-@query(f"""WITH {SQL_LINES}, c AS (SELECT book, page, line_no, ("left" + "right") / 2 AS x, bottom - "top" AS h, line_no % 2 = 0 AS box FROM l WHERE line_no % 3 < 2)
+@query(f"""WITH {SQL_LINES}, c AS (SELECT book, page, line_no, ("left" + "right") / 2 AS x, bottom - "top" AS h, line_no % 2 = 0 AS box FROM l)
 SELECT a.book, a.page, a.line_no, (SELECT count(*) FROM c b WHERE b.book = a.book AND b.page = a.page AND b.box AND abs(b.x - a.x) <= greatest(0.45 * a.h, 7.2)) AS aligned FROM c a""")
 def aligned_markers(spark, sf_dir):
-    own = corpus.lines(spark, sf_dir).where("line_no % 3 < 2").withColumn("checkbox", F.col("line_no") % 2 == 0)
+    own = corpus.lines(spark, sf_dir).withColumn("checkbox", F.col("line_no") % 2 == 0)
     return layout.aligned_markers(own).select("book", "page", "line_no", "aligned")
 
 
@@ -398,10 +398,10 @@ def user_words(spark, sf_dir):
     return readers.user_words(rows).select("word", F.col("first.pos").alias("first_pos"))
 
 
-@query("SELECT DISTINCT n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 5 = 0)")
+@query("SELECT DISTINCT n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
 def missing_names(spark, sf_dir):
     nation, supplier = corpus.table(spark, sf_dir, "nation"), corpus.table(spark, sf_dir, "supplier")
-    have = supplier.where("s_suppkey % 5 = 0").join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select(F.col("n_name").alias("name"))
+    have = supplier.where("s_acctbal < 0").join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select(F.col("n_name").alias("name"))
     return readers.missing(nation.select(F.col("n_name").alias("name")), have)
 
 
@@ -417,13 +417,13 @@ def page_reports(spark, sf_dir):
     p = corpus.pages(spark, sf_dir)
     hits = F.transform(F.regexp_extract_all("text", F.lit("License"), F.lit(0)), lambda x: F.struct(x.alias("text"), F.array(F.lit("license")).alias("reasons")))
     engine = F.when(F.col("page") % 5 == 0, F.lit(None).cast("string")).when(F.col("page") % 2 == 0, "vision").otherwise("tesseract")
-    return p.select("book", "page", engine.alias("engine"), (F.col("page") % 7 == 0).alias("retried"), F.length("text").cast("bigint").alias("character_count"), F.size(F.split("text", "\n")).cast("bigint").alias("line_count"), F.when(F.col("page") % 3 > 0, F.col("page") % 11).alias("removed_lines"), hits.alias("review_candidates"))
+    return p.select("book", "page", engine.alias("engine"), (F.col("page") % 7 == 0).alias("retried"), F.length("text").cast("bigint").alias("character_count"), F.size(F.split("text", "\n")).cast("bigint").alias("line_count"), F.when(F.col("page") % 3 > 0, F.col("page") % 11).alias("filtered_lines"), (F.col("page") % 5).alias("retried_lines"), (F.length("text") % 3).alias("reordered_elements"), hits.alias("review_candidates"))
 
 
-@query("""SELECT source AS book, count(*) AS pages, count(*) FILTER (doc_id % 7 = 0) AS retried_pages, sum(len(string_split(text, chr(10))))::BIGINT AS line_count, sum(length(text))::BIGINT AS character_count, coalesce(sum(doc_id % 11) FILTER (doc_id % 3 > 0), 0)::BIGINT AS removed_lines,
-sum(len(regexp_extract_all(text, 'License')))::BIGINT AS candidates, sum(len(regexp_extract_all(text, 'License'))) = 0 AS automated_checks_passed, false AS verified_error_free FROM documents GROUP BY source""")
+@query("""SELECT source AS book, count(*) AS pages, count(*) FILTER (doc_id % 7 = 0) AS retried_pages, coalesce(sum(doc_id % 11) FILTER (doc_id % 3 > 0), 0)::BIGINT AS filtered_lines, 0::BIGINT AS filtered_non_narrative_lines, 0::BIGINT AS manga_regions_detected, 0::BIGINT AS manga_regions_accepted, 0::BIGINT AS filtered_figure_lines, 0::BIGINT AS filtered_list_markers,
+sum(length(text) % 3)::BIGINT AS reordered_elements, sum(doc_id % 5)::BIGINT AS retried_lines, sum(len(regexp_extract_all(text, 'License')))::BIGINT AS candidates, count(*) FILTER (contains(text, 'All rights')) AS post_candidates, sum(len(regexp_extract_all(text, 'License'))) = 0 AND count(*) FILTER (contains(text, 'All rights')) = 0 AS automated_checks_passed, false AS verified_error_free FROM documents GROUP BY source""")
 def quality_rollup(spark, sf_dir):
-    return reports.rollup(page_reports(spark, sf_dir))
+    return reports.rollup(page_reports(spark, sf_dir), corpus.pages(spark, sf_dir).where(F.col("text").contains("All rights")))
 
 
 @query("SELECT source AS book, CASE WHEN doc_id % 5 = 0 THEN 'tesseract' WHEN doc_id % 2 = 0 THEN 'vision' ELSE 'tesseract' END AS engine, count(*) AS pages FROM documents GROUP BY ALL")
@@ -486,6 +486,33 @@ def header_boundary(spark, sf_dir):
     return pixels.per_image(screens(spark, sf_dir), lambda im: [(pixels.header_bottom(im),)], "header int").select("page", "header")
 
 
+@query("""SELECT p_partkey AS page, 0 AS "left", CASE WHEN k BETWEEN 1 AND 23 THEN 120 - greatest(8, k) ELSE 120 END AS "right" FROM (SELECT p_partkey, p_partkey % 30 AS k FROM part)""")
+def right_strip(spark, sf_dir):
+    # The screens turned about, so that the strip is at the right edge.
+    return pixels.per_image(screens(spark, sf_dir), lambda im: [pixels.dark_edges(im[:, ::-1])], "left int, right int").select("page", "left", "right")
+
+
+@query("""SELECT p_partkey AS page, (7 + 0.0) / 7 * CASE WHEN k >= 26 THEN 1.0 ELSE k / 26.0 END AS darkness, CASE WHEN k >= 26 THEN 1.0 ELSE k / 26.0 END AS dark FROM (SELECT p_partkey, p_partkey % 30 AS k FROM part)""")
+def inked_boxes(spark, sf_dir):
+    # Of the leftmost 26 columns at the bottom, a box's own and with its margin of 8, the strip's are dark.
+    return pixels.per_image(screens(spark, sf_dir), lambda im: [(pixels.darkness(im, 0, 90, 26, 97), pixels.ink(im, 0, 90, 18, 97)[2])], "darkness double, dark double").select("page", "darkness", "dark")
+
+
+@query()
+def content_boxes(spark, sf_dir):
+    return pixels.content_boxes(screens(spark, sf_dir))
+
+
+@query()
+def list_markers(spark, sf_dir):
+    """Each line's first word as its marker, in a square box whose darkness is made up."""
+    own = corpus.lines(spark, sf_dir).withColumn("text", F.array_join(F.col("words")["text"], " "))
+    first, rest = F.substring_index("text", " ", 1), F.regexp_replace("text", r"^\\S* ?", "")
+    marker = F.when(F.length(first) > 4, F.element_at(F.array(*map(F.lit, ("\u25a0", "[", "V", "\u2022"))), (F.col("line_no") % 4 + 1).cast("int"))).otherwise(first)
+    own = own.select("book", "page", "block_no", "line_no", marker.alias("token"), "left", "top", (F.col("left") + 20).alias("right"), (F.col("top") + 20).alias("bottom"), (F.length(rest) == 0).alias("alone"), F.when(F.length(rest) > 0, F.col("left") + 45).alias("next_left"), F.when(F.length(rest) > 0, rest).alias("rest"), "text", "page_width", "page_height", ((F.col("line_no") * 7 + F.col("page")) % 16 / 16.0).alias("dark"))
+    return layout.list_markers(own)
+
+
 @query("SELECT p_partkey AS page, CAST(CASE WHEN p_partkey % 30 BETWEEN 1 AND 23 THEN greatest(8, p_partkey % 30) ELSE 0 END AS INT) AS strip FROM part")
 def dark_run_boundary(spark, sf_dir):
     # A strip narrower than 8 ends at 8; one of 24 or more leaves too few columns of the quarter to be sure of its end.

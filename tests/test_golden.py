@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import rules, text
-from pagemill.operators import books, corrections, layout, lines, pixels
+from pagemill.functions.numbers import rounded
+from pagemill.operators import books, corrections, layout, lines, pixels, reports
 from pagemill.sources import readers
 from pagemill.streaming import frames
 
@@ -253,7 +254,7 @@ def test_whole_page_job(spark):
     done = process_pages(primary, options=Options(profiles=("ai-rag",)))
     assert done.texts.first().text == "日本語の文章 ABC\n生成 AI モデルを説明する本文がここに続いています。"
     r = done.reports.first()
-    assert r.filtered_lines == 1 and r.reordered_lines > 0 and not r.retried
+    assert r.filtered_lines == 1 and r.reordered_elements > 0 and not r.retried
     assert r.corrections == {"Al -> AI (after 生成)": 1} and [c.reasons for c in r.review_candidates] == [["mixed_script_ending"]]
     assert [len(x.words) for x in done.lines.collect()] == [1, 1]
     better = make(spark, [("もっとよく読めた本文です。" * 3, 0.95, 10, 100)])
@@ -294,3 +295,19 @@ def test_hocr(spark):
     assert [(r.block_no, r.line_no, [w.text for w in r.words]) for r in got] == [(0, 0, ["日本", "語"]), (1, 0, ["Head & more"])]
     assert (got[0].left, got[0].bottom, got[0].page_width, got[0].page_height) == (10, 40, 600, 800)
     assert [w.confidence for w in got[0].words] == [0.91, 0.8] and (got[1].left, got[1].right) == (5, 60)
+
+
+def test_rounding_is_that_of_the_exact_value(spark):
+    rng = np.random.default_rng(5)
+    values = [0.125, 0.375, 2.675, 1.005, 0.5, 0.0, 1.0, 0.015, 0.025, 99.995, 100.0, *(rng.integers(0, 100_000, 3000) / 1000).tolist(), *(rng.random(3000) * 100).tolist(), *(rng.integers(0, 8000, 500) / 64).tolist()]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (2, 4):
+        assert [r[0] for r in df.select(rounded(F.col("v"), places)).collect()] == [round(v, places) for v in values]
+
+
+def test_rollup_counts_what_validation_found(spark):
+    pages = spark.createDataFrame([("a", False, 2, []), ("a", True, None, []), ("b", False, 1, [("x", ["r"])])], "book string, retried boolean, filtered_lines int, review_candidates array<struct<text:string, reasons:array<string>>>")
+    post = spark.createDataFrame([("a",)], "book string")
+    rows = lambda *post: {r.book: (r.pages, r.retried_pages, r.filtered_lines, r.retried_lines, r.candidates, r.post_candidates, r.automated_checks_passed) for r in reports.rollup(pages, *post).collect()}
+    assert rows() == {"a": (2, 1, 2, 0, 0, 0, True), "b": (1, 0, 1, 0, 1, 0, False)}
+    assert rows(post) == {"a": (2, 1, 2, 0, 0, 1, False), "b": (1, 0, 1, 0, 1, 0, False)}
