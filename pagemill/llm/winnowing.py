@@ -30,20 +30,28 @@ def _with_later(values: Column, by: int, f) -> Column:
     return _let(values, lambda v: F.zip_with(v, F.slice(v, by + 1, F.size(v)), f))
 
 
-def _rolling(times: int, cut: bool):
-    both = lambda x, y: x * F.lit(times).cast("long") + y
-    return (lambda x, y: both(x, y) % F.lit(PRIME).cast("long")) if cut else both
+def _hash(x: Column, y: Column, by: int, cut: bool = True) -> Column:
+    """The hash of two neighbours' hashes, the second of `by` codes."""
+    both = x * F.lit(pow(BASE, by, PRIME)).cast("long") + y
+    return both % F.lit(PRIME).cast("long") if cut else both
 
 
-def rolled(codes: Column, gram: int) -> Column:
-    """The polynomial hash modulo PRIME of the `gram` codes from each place on; what the last gram - 1 places hold is to be
-    cut off. Hashes roll by doubling: that of 2 k codes is made of those of k codes at two places, so that each costs three
-    steps for eight codes and is what a hash rolled code by code would be. gram is a power of two."""
-    by = 1
-    while by < gram:
-        codes = _with_later(codes, by, _rolling(pow(BASE, by, PRIME), by > 1 or gram == 2))
+def rolled(chars: Column, gram: int, pack) -> Column:
+    """pack(hash, place) of the `gram` characters from each place on, null where fewer are left. The hash is a polynomial of the
+    code points modulo PRIME. It rolls by doubling: that of 2 k codes is made of those of k codes at two places, so that
+    each costs three steps for eight codes and is what a hash rolled code by code would be. gram is a power of two."""
+    code = lambda c: F.ascii(c).cast("long")
+    if gram == 2:
+        return F.transform(chars, lambda c, i: pack(_hash(code(c), code(F.get(chars, i + 1)), 1), i))
+    h, by = F.transform(chars, lambda c, i: _hash(code(c), code(F.get(chars, i + 1)), 1, cut=False)), 2
+    while 2 * by < gram:
+        h = _with_later(h, by, _doubling(by))
         by *= 2
-    return codes
+    return _let(h, lambda v: F.transform(v, lambda x, i: pack(_hash(x, F.get(v, i + by), by), i)))
+
+
+def _doubling(by: int):
+    return lambda x, y: _hash(x, y, by)
 
 
 def minima(packed: Column, window: int) -> Column:
@@ -67,8 +75,7 @@ def piece_of(part: Column, first: Column | int, gram: int, window: int) -> Colum
 
     def long_enough(chars: Column) -> Column:
         n = F.size(chars) - (gram - 1)
-        h = F.slice(rolled(F.transform(chars, code), gram), F.lit(1), n)
-        least = minima(_let(top, lambda top: F.transform(h, lambda x, i: pack(x, top - i))), window)
+        least = minima(_let(top, lambda top: rolled(chars, gram, lambda h, i: pack(h, top - i))), window)
         return F.array_distinct(F.slice(least, F.lit(1), F.greatest(F.lit(1), n - (window - 1))))
 
     short = lambda chars: F.array(pack(F.aggregate(chars, F.lit(0).cast("long"), lambda a, c: (a * F.lit(BASE) + code(c)) % F.lit(PRIME).cast("long")), top))
@@ -82,7 +89,8 @@ def winnowed(text: str, gram: int = GRAM, window: int = WINDOW, piece: int = PIE
     last = F.greatest(F.lit(1), F.length(text) - (gram + window - 2))
     count = F.ceil(last / piece).cast("int")
     own = lambda i: piece_of(F.substring(F.col(text), i * piece + 1, F.lit(piece + gram + window - 2)), i * piece, gram, window)
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), count - 1), own)))
+    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), count - 1), own)))
+    return F.when(count > 1, pieces).otherwise(piece_of(F.col(text), F.lit(0), gram, window))
 
 
 def position(x: Column) -> Column:
@@ -133,14 +141,14 @@ def in_ranges(base: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
 
 
 def followed(base: DataFrame, grams: Column) -> DataFrame:
-    """Rows of base (key, mark, text, ..), each key and mark once, with grams and own_set, their hashes, and next_text,
-    next_grams and next_set, those of the next row by key and mark, or of the first row after the last.
+    """Rows of base (key, mark, text, ..), each key and mark once, with grams, next_text and next_grams, those of the next row
+    by key and mark, or of the first row after the last.
 
     Keys are dealt to ranges of like size, of which the least keys, a row for each, come to the driver. A range's first
     row also goes to the range before as its end, so texts move once and the next row is a window function within a range.
     """
     spark = base.sparkSession
-    parts = 12 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     least = base.select("key", "mark").repartitionByRange(parts, "key", "mark").groupBy(F.spark_partition_id()).agg(F.min(F.struct("key", "mark")).alias("least"))
     bounds = sorted((r["least"]["key"], r["least"]["mark"]) for r in least.collect()) or [(0, 0)]
     dealt = in_ranges(base, bounds)
@@ -149,8 +157,7 @@ def followed(base: DataFrame, grams: Column) -> DataFrame:
     dealt = dealt.withColumn("place", F.explode(F.when(F.col("first"), F.array(here, before)).otherwise(F.array(here)))).select(*base.columns, "place.range", "place.end")
     order = Window.partitionBy("range").orderBy("end", "key", "mark")
     rows = dealt.repartition("range").withColumn("grams", grams)
-    rows = rows.withColumn("own_set", hashes("grams"))
-    rows = rows.select("*", *(F.lead(c).over(order).alias(n) for c, n in (("text", "next_text"), ("grams", "next_grams"), ("own_set", "next_set"))))
+    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_grams", F.lead("grams").over(order))
     return rows.where("not end").drop("range", "end")
 
 
@@ -184,7 +191,7 @@ def fingerprint(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, piece:
     across = F.when((F.col("taken") == 0) & (size >= reach), _nothing()).otherwise(across)
     after = _let(F.col("kept"), lambda kept: F.transform(beginning("next_grams", F.col("taken") - reach, window), lambda x: x - kept))
     both = both.withColumn("edited_grams", F.array_distinct(F.concat(beginning("grams", F.col("kept") - reach, window), across, after)))
-    both = both.withColumn("edited_set", hashes("edited_grams"))
+    both = both.withColumn("own_set", hashes("grams")).withColumn("edited_set", hashes("edited_grams")).withColumn("next_set", hashes("next_grams"))
     if repeated:
         both = both.join(ids, ["key", "mark"]).withColumn("doc_id", F.when(~F.col("missing"), F.col("key"))).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
     return both.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), as_text("grams").alias("fingerprint"), as_text("edited_grams").alias("edited_fingerprint"), likeness("own_set", "edited_set").alias("near_edited"), likeness("own_set", "next_set").alias("near_next"))
