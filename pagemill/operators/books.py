@@ -161,3 +161,30 @@ def exclusive_names(wanted: DataFrame, taken: DataFrame, suffixes: list[str]) ->
 def path_collisions(paths: DataFrame) -> DataFrame:
     """(path, labels) of each path of (label, path) that two labels or more resolve to."""
     return paths.groupBy("path").agg(F.array_sort(F.collect_set("label")).alias("labels")).where(F.size("labels") > 1)
+
+
+#: What a book's outputs are called after its own name, and their extensions.
+OUTPUTS = (("output", "", ".pdf"), ("searchable", "_searchable", ".pdf"), ("ocr_text", "_ocr", ".txt"), ("readaloud", "_readaloud", ".txt"), ("quality", "_ocr_quality", ".json"))
+
+
+def output_paths(wanted: DataFrame) -> DataFrame:
+    """(book, kind, path, problem): where each output of wanted (book, output, searchable) goes.
+
+    Unless it is searchable, a book has its output alone. Columns searchable_output, ocr_text_output, readaloud_output and
+    quality_output, where there are any, name places of their own; null or empty, and without a column, the place is beside the output. problem is `collision` where
+    another kind of that book has the path, else `extension` where the path hasn't that of its kind in any case, else null.
+    Paths are compared as they are written.
+    """
+    ending = lambda p: F.regexp_extract(p, r"[^/](\.[^./]+)\z", 1)
+    stem = F.expr("left(output, length(output) - length(_ending))")
+    rows = []
+    for kind, after, extension in OUTPUTS:
+        path = F.col("output") if kind == "output" else F.concat(stem, F.lit(after + extension))
+        if (chosen := f"{kind}_output") in wanted.columns:
+            path = F.coalesce(F.when(F.col(chosen) != "", F.col(chosen)), path)
+        rows.append(F.struct(F.lit(kind).alias("kind"), path.alias("path"), F.lit(extension).alias("extension")))
+    own = wanted.withColumn("_ending", ending("output")).withColumn("_all", F.when(F.col("searchable"), F.array(*rows)).otherwise(F.array(rows[0])))
+    own = own.select("book", F.col("_all.path").alias("paths"), F.explode("_all").alias("o"))
+    shared = F.size(F.filter("paths", lambda p: p == F.col("o.path"))) > 1
+    problem = F.when(shared, "collision").when(F.lower(ending("o.path")) != F.col("o.extension"), "extension")
+    return own.select("book", "o.kind", "o.path", problem.alias("problem"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
@@ -517,3 +517,41 @@ def list_markers(spark, sf_dir):
 def dark_run_boundary(spark, sf_dir):
     # A strip narrower than 8 ends at 8; one of 24 or more leaves too few columns of the quarter to be sure of its end.
     return pixels.per_image(screens(spark, sf_dir), lambda im: [(pixels.dark_strip(im),)], "strip int").select("page", "strip")
+
+
+@query("""WITH f AS (SELECT user_id AS source, floor(value) % 3 AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+p AS (SELECT source, v AS page FROM f WHERE i = 1), c AS (SELECT f.source, n, min(CASE WHEN v <> page AND i <= 7 THEN i END) AS fc FROM f JOIN p USING (source) GROUP BY ALL),
+d AS (SELECT *, 1 + 2 * ((fc - 1 + 1) // 2) AS deadline FROM c), a AS (SELECT source, i, v, lag(v) OVER (PARTITION BY source ORDER BY i) AS w FROM f),
+s AS (SELECT d.source, min(a.i) AS si FROM d JOIN a ON a.source = d.source AND a.v = a.w AND a.i > fc AND a.i <= deadline GROUP BY d.source)
+SELECT source, CAST(coalesce(si, least(n, coalesce(deadline, 7))) AS DOUBLE) AS ts, CASE WHEN si IS NOT NULL THEN 'stable' WHEN fc IS NOT NULL THEN 'timeout' ELSE 'end' END AS outcome FROM d LEFT JOIN s USING (source)""")
+def retried_turns(spark, sf_dir):
+    """Three attempts of two seconds each, a frame a second."""
+    e = corpus.table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("double").alias("ts"), F.array((F.floor("value") % 3).cast("double")).alias("frame"))
+    return frames.retried_turns(e, 2, 2.0, 0.5)
+
+
+@query("""WITH w AS (SELECT s_suppkey AS book, '/out/' || replace(s_name, '#', '.') AS stem, CASE s_suppkey % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.txt' ELSE '.pdf' END AS e, s_suppkey % 7 AS k, s_suppkey % 4 < 3 AS searchable FROM supplier),
+o AS (SELECT book, 'output' AS kind, stem || e AS path, '.pdf' AS x FROM w UNION ALL SELECT book, 'searchable', stem || '_searchable.pdf', '.pdf' FROM w WHERE searchable UNION ALL SELECT book, 'ocr_text', stem || '_ocr.txt', '.txt' FROM w WHERE searchable
+UNION ALL SELECT book, 'readaloud', CASE k WHEN 0 THEN stem || e WHEN 1 THEN '/out/speech.pdf' ELSE stem || '_readaloud.txt' END, '.txt' FROM w WHERE searchable UNION ALL SELECT book, 'quality', stem || '_ocr_quality.json', '.json' FROM w WHERE searchable)
+SELECT book, kind, path, CASE WHEN count(*) OVER (PARTITION BY book, path) > 1 THEN 'collision' WHEN NOT ends_with(lower(path), x) THEN 'extension' END AS problem FROM o""")
+def output_paths(spark, sf_dir):
+    stem, k = F.concat(F.lit("/out/"), F.replace("s_name", F.lit("#"), F.lit("."))), F.col("s_suppkey")
+    output = F.concat(stem, F.when(k % 5 == 0, ".PDF").when(k % 5 == 1, ".txt").otherwise(".pdf"))
+    spoken = F.when(k % 7 == 0, output).when(k % 7 == 1, F.lit("/out/speech.pdf")).otherwise("")
+    return books.output_paths(corpus.table(spark, sf_dir, "supplier").select(k.alias("book"), output.alias("output"), (k % 4 < 3).alias("searchable"), spoken.alias("readaloud_output")))
+
+
+@query(r"""WITH f AS (SELECT conv_id AS book, arg_min(text, turn) AS t FROM conversations GROUP BY conv_id), r AS (SELECT book, t FROM f WHERE book % 3 = 0 AND t IS NOT NULL)
+SELECT book, CAST(i AS BIGINT) AS page, a[i] AS text FROM (SELECT book, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT book, string_split(t, 'e') AS a FROM r))
+UNION ALL SELECT conv_id, CAST(turn AS BIGINT), text FROM conversations WHERE conv_id NOT IN (SELECT book FROM r)""")
+def finished_pages(spark, sf_dir):
+    """Final texts of a third of the books are readable; the others' are null."""
+    talks = corpus.talks(spark, sf_dir).withColumn("page", F.col("page").cast("bigint"))
+    first = talks.groupBy("book").agg(F.min_by("text", "page").alias("t"))
+    return readers.finished_pages(talks, first.select("book", F.when(F.col("book") % 3 == 0, F.replace("t", F.lit("e"), F.lit("\f"))).alias("text")))
+
+
+@query(f"WITH {PAGE_METRICS} SELECT l.book, l.page, l.line_no, CASE WHEN pm.line_count >= 2 AND pm.character_count >= 10 THEN l.block_no ELSE -1 END AS block_no FROM l LEFT JOIN pm USING (book, page)")
+def preferred_recogniser(spark, sf_dir):
+    own = corpus.lines(spark, sf_dir)
+    return readers.preferred(own, own.withColumn("block_no", F.lit(-1))).select("book", "page", "line_no", "block_no")

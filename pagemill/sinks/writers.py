@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import posixpath
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_books(texts: DataFrame, path: str, overwrite: bool = False) -> None:
-    """One folder per book, book=.., with its text in one file."""
-    out = texts.select("book", "text").repartition("book")
-    out.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("book").option("lineSep", "").text(path)
+def same_place(a: str, b: str) -> bool:
+    """Whether two addresses name one place; a bare path is a local one, and links aren't followed."""
+    at = [(u.scheme or "file", u.netloc, posixpath.normpath(u.path)) for u in map(urlsplit, (a, b))]
+    return at[0] == at[1]
+
+
+def write_books(texts: DataFrame, path: str, overwrite: bool = False, source: str | None = None) -> None:
+    """One folder per book, book=.., with its text in one file, which ends with a line end; an empty or null text's
+    is nothing but that. The source that the texts were read from is never written over."""
+    if source is not None and same_place(source, path):
+        raise ValueError(f"texts would be written over what they are read from: {path}")
+    # The writer ends each row itself.
+    own = F.regexp_replace(F.coalesce("text", F.lit("")), r"\n\z", "")
+    out = texts.select("book", own.alias("text")).repartition("book")
+    out.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("book").text(path)
 
 
 def write_pages(pages: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import strip
-from pagemill.operators.lines import MEANINGFUL
+from pagemill.operators.lines import MEANINGFUL, line_metrics, page_metrics
 
 REPORT = "book string, page int, engine string, retried boolean, removed_lines int, corrections map<string,int>, review_candidates array<struct<text:string, reasons:array<string>>>, character_count int, line_count int, mean_confidence double, suspicious_ratio double, score double"
 
@@ -61,6 +61,46 @@ def usable_recognition(metrics: DataFrame) -> DataFrame:
     return metrics.where("line_count >= 2 and character_count >= 10")
 
 
+def preferred(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Lines of two recognisers: of each page the first one's where they are usable_recognition(), the second one's elsewhere."""
+    page = ["book", "page"]
+    good = usable_recognition(page_metrics(line_metrics(first))).select(*page)
+    return first.join(good, page, "left_semi").unionByName(second.join(good, page, "left_anti"))
+
+
+def recognise(images: DataFrame, engine: Callable[[bytes], list[tuple]], rows: int = 16) -> DataFrame:
+    """Page images (book, page, content) -> lines, by any recogniser: a function of an image's bytes that gives its width, its height and
+    its lines (text, left, top, right, bottom, confidence). Each line is one word and all are one block. A null image
+    has no lines; at most `rows` images are held at once. The function runs on executors and must be picklable.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in images.schema}
+    names = ["book", "page", "block_no", "line_no", "left", "top", "right", "bottom", "words", "page_width", "page_height"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for at in range(0, len(pdf), rows):
+                out = []
+                for r in pdf.iloc[at : at + rows].itertuples():
+                    width, height, found = engine(bytes(r.content)) if r.content is not None else (0, 0, [])
+                    for n, (text, *box, sure) in enumerate(found):
+                        word = dict(zip(("text", "left", "top", "right", "bottom", "confidence"), (text, *map(float, box), sure), strict=True))
+                        out.append((r.book, r.page, 0, n, *map(float, box), [word], width, height))
+                yield pd.DataFrame(out, columns=names)
+
+    word = "array<struct<text:string,left:double,top:double,right:double,bottom:double,confidence:double>>"
+    schema = f"book {kinds['book']}, page {kinds['page']}, block_no int, line_no int, left double, top double, right double, bottom double, words {word}, page_width int, page_height int"
+    return images.select("book", "page", "content").mapInPandas(run, schema)
+
+
+def finished_pages(filtered: DataFrame, final: DataFrame) -> DataFrame:
+    """(book, page, text): the pages of each book's final text (book, text), one row a book, between form feeds; where that is null or
+    missing, the book's filtered pages (book, page, text)."""
+    read = final.where("text is not null")
+    own = read.select("book", F.posexplode(F.split("text", "\f")).alias("n", "text"))
+    own = own.select("book", (F.col("n") + 1).cast(filtered.schema["page"].dataType).alias("page"), "text")
+    return own.unionByName(filtered.join(read.select("book"), "book", "left_anti").select("book", "page", "text"))
+
+
 def user_words(lines: DataFrame) -> DataFrame:
     """(word, first): the distinct words of dictionary rows (file, pos, line), by where each comes first.
 
