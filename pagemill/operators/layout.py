@@ -55,15 +55,20 @@ def narrative_lines(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """
     own = text_kinds(lines)
     foul = F.col("code_like") | F.col("ui_like") | F.col("ascii_ui")
-    held = in_regions(own.withColumn("foul", foul), regions, "foul")
-    clean = held.groupBy(*PAGE, "region_no").agg(F.bool_or("foul").alias("spoilt")).where("not spoilt")
-    inside = held.join(clean, [*PAGE, "region_no"]).select(*LINE).distinct().withColumn("inside", F.lit(True))
+    # A page's regions as one value, so that lines are neither joined with themselves nor multiplied.
+    corners = F.collect_list(F.struct("region_no", "r_left", "r_top", "r_right", "r_bottom")).alias("_regions")
+    own = own.join(regions.where("region_no is not null").groupBy(*PAGE).agg(corners), PAGE, "left")
+    x, y = (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
+    around = F.filter("_regions", lambda r: x.between(r["r_left"], r["r_right"]) & y.between(r["r_top"], r["r_bottom"]))
+    own = own.withColumn("_held", F.transform(around, lambda r: r["region_no"]))
+    spoilt = F.flatten(F.collect_set(F.when(foul, F.col("_held"))).over(Window.partitionBy(*PAGE)))
+    own = own.withColumn("inside", F.size(F.array_except("_held", spoilt)) > 0)
     large = (F.col("relative_height") >= 0.04) & ((width() >= 1.2 * height()) | (F.col("japanese") >= 2))
     upper = (F.col("top") <= 0.2 * F.col("page_height")) & (F.col("relative_height") >= 0.025)
     screen = (F.col("ascii_ratio") >= 0.65) & (F.col("japanese") <= 1) & ~large
     wanted = large | F.col("text").rlike(TITLE) | upper | F.coalesce("inside", F.lit(False))
     blank = ~F.col("text").rlike(r"(?U)\S")
-    return own.join(inside, LINE, "left").withColumn("kept", blank | (wanted & ~foul & ~screen)).select(*lines.columns, "kept")
+    return own.withColumn("kept", blank | (wanted & ~foul & ~screen)).select(*lines.columns, "kept")
 
 
 def title_lines(lines: DataFrame) -> DataFrame:
