@@ -38,10 +38,9 @@ def stripped_lines(text: Column | str) -> Column:
 
 def edge_candidates(pages: DataFrame) -> DataFrame:
     """(book, page, line): the distinct lines among a page's first and last two that may be headers or footers."""
-    lines = stripped_lines("text")
     edges = F.concat(F.slice("lines", 1, 2), F.slice("lines", F.greatest(F.lit(1), F.size("lines") - 1), F.lit(2)))
-    kept = F.filter(F.array_distinct(edges), lambda x: F.length(x).between(4, 80) & ~is_page_number(x))
-    return pages.select("book", "page", lines.alias("lines")).select("book", "page", F.explode(kept).alias("line"))
+    kept = F.filter(F.array_distinct(F.transform(edges, lambda x: strip(x))), lambda x: F.length(x).between(4, 80) & ~is_page_number(x))
+    return pages.select("book", "page", lines_of("text").alias("lines")).select("book", "page", F.explode(kept).alias("line"))
 
 
 def repeated_edges(pages: DataFrame) -> DataFrame:
