@@ -1,5 +1,7 @@
 """Sources, sinks, names of outputs, recogniser functions and retried page turns."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,22 @@ def test_retried_turns(spark):
     assert got == {"second": (4.0, "stable"), "late": (1.0, "end"), "lost": (2.5, "lost"), "again": (2.0, "stable"), "cut": (1.0, "timeout")}
     # Each attempt takes 1.5 seconds at least, so that two reach to 3.
     assert {r.source: r.ts for r in frames.retried_turns(made, 1, 0.1).collect()}["second"] == 3.0
+
+
+def test_stream_of_retried_turns(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("second", 0.0, [0.0]), ("second", 3.0, [50.0]), ("second", 3.5, [50.0]), ("lost", 0.0, [0.0]), ("lost", 1.0, None), ("lost", 1.5, None), ("lost", 2.0, None)]
+    schema = "source string, ts double, frame array<double>"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    turns = frames.stream_stable_frames(stream, timeout=2, retries=1, idle=600)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    q = turns.writeStream.format("memory").queryName("retried").option("checkpointLocation", f"{tmp_path}/ck").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 60
+        while time.time() < end and spark.table("retried").count() < 2:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [tuple(r) for r in spark.sql("SELECT * FROM retried ORDER BY source").collect()] == [("lost", 1.5, "lost"), ("second", 3.5, "stable")]
