@@ -472,13 +472,17 @@ def stable_frames(spark, sf_dir):
 
 
 def screens(spark, sf_dir):
-    """Made-up screenshots of parts: a header, dark strips and a block, all by whole-number arithmetic of the key."""
-    k = F.col("p_partkey")
-    row = lambda y: F.when(y < 14 + k % 50, 200).otherwise(255)
-    tone = lambda i: F.when(i % 120 < k % 30, 20).otherwise(row(F.floor(i / 120)))
-    grey = F.transform(F.sequence(F.lit(0), F.lit(120 * 100 - 1)), lambda i: F.lpad(F.hex(tone(i)), 2, "0"))
-    rgb = F.unhex(F.array_join(F.transform(grey, lambda g: F.repeat(g, F.lit(3))), ""))
-    return corpus.table(spark, sf_dir, "part").select(F.lit("b").alias("book"), F.col("p_partkey").alias("page"), F.lit(120).alias("width"), F.lit(100).alias("height"), rgb.alias("pixels"))
+    """Made-up screenshots of parts: a header, dark strips and a block, all by whole-number arithmetic of the key.
+
+    Rows of pixels are repeated whole, in hexadecimal. A key of 8 bytes becomes a picture of 36,000, so keys are dealt out first: a
+    file of a million is read by one task.
+    """
+    k = F.col("page")
+    row = lambda tone: F.concat(F.repeat(F.lit("14" * 3), (k % 30).cast("int")), F.repeat(F.lit(tone * 3), (120 - k % 30).cast("int")))
+    rgb = F.unhex(F.concat(F.repeat(row("C8"), (14 + k % 50).cast("int")), F.repeat(row("FF"), (86 - k % 50).cast("int"))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    keys = corpus.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page")).repartition(tasks, "page")
+    return keys.select(F.lit("b").alias("book"), "page", F.lit(120).alias("width"), F.lit(100).alias("height"), rgb.alias("pixels"))
 
 
 @query("SELECT p_partkey AS page, CAST(14 + p_partkey % 50 AS INT) AS header FROM part")
