@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.book_rules import BOOK_CONTEXT, BOOK_CORRECTIONS, PROFILE, Context
+from pagemill.functions.once import once
 from pagemill.functions.rules import CORRECTIONS, LINE_REVIEWS, PAGE_REVIEWS, Correction, Review, active, expand_profiles
 from pagemill.functions.text import JAPANESE, KNOWN_ACRONYMS, squeeze
 from pagemill.operators.lines import by_page, mean_confidence
@@ -101,11 +102,13 @@ def review_reasons(measured: DataFrame, rules: Iterable[Review] = LINE_REVIEWS,
     known = F.regexp_extract("text", r"(?U)\b([A-Z]{1,4})[,.:;]?$", 1).isin(*KNOWN_ACRONYMS)
     hits = [F.when(F.col("text").rlike(r.pattern) & (~known if r.reason == "mixed_script_ending" else F.lit(True)), F.lit(r.reason)) for r in own]
     shaky = (F.col("confidence") < 0.48) & F.col("text").rlike(f"[{JAPANESE}]") & ((F.regexp_count("text", F.lit(r"(?U)\b[A-Z]{2,}\b")) >= 2) | (F.col("suspicious_ratio") >= 0.12))
-    return measured.withColumn("reasons", F.array_sort(F.array_distinct(F.array_compact(F.array(*hits, F.when(shaky, F.lit("low_confidence_mixed_script")))))))
+    # Compared before sorting: most lines have no reason.
+    found = F.array_compact(F.array(*hits, F.when(shaky, F.lit("low_confidence_mixed_script"))))
+    return once(measured, _found=found).withColumn("reasons", F.when(F.size("_found") == 0, F.col("_found")).otherwise(F.sort_array(F.array_distinct("_found")))).drop("_found")
 
 
 def review_candidates(measured: DataFrame, rules: Iterable[Review] = LINE_REVIEWS, profiles: Iterable[str] | None = None) -> DataFrame:
-    return review_reasons(measured.where(F.size("words") > 0), rules, profiles).where(F.size("reasons") > 0)
+    return review_reasons(measured, rules, profiles).where((F.size("reasons") > 0) & (F.size("words") > 0))
 
 
 def page_candidates(pages: DataFrame, rules: Iterable[Review] = PAGE_REVIEWS, profiles: Iterable[str] | None = None, around: int = 60) -> DataFrame:

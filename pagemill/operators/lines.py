@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.numbers import rounded
+from pagemill.functions.once import once
 from pagemill.functions.text import JAPANESE, JAPANESE_OR_PUNCTUATION, by_script, collapse_japanese_spaces, is_page_number, strip, visible
 
 PAGE = ["book", "page"]
@@ -20,6 +21,7 @@ PAGE = ["book", "page"]
 MEANINGFUL = f"A-Za-z0-9{JAPANESE}"
 SAFE = JAPANESE_OR_PUNCTUATION.replace(JAPANESE, "") + r".,:;!?()\[\]{}<>+\-/%&@#'\""
 ASCII_FINE = "".join(chr(c) for c in range(33, 127) if chr(c).isalnum() or chr(c) in ".,:;!?()[]{}<>+-/%&@#'\"")
+ASCII_ODD = r"[^A-Za-z0-9.,:;!?()\[\]{}<>+\-/%&@#'\"]"
 RETRY_CONFIDENCE, RETRY_SUSPICION, RETRY_LINES, RETRY_CHARACTERS = 0.78, 0.12, 15, 220
 
 
@@ -39,14 +41,14 @@ def _normal(marked: Column | str) -> Column:
     parted = by_script(by_script(marked, r"\s*\x01[\s\x01]*", " "), r"^\s+|\s+\z", "")
     # Nothing to do but to put blanks: printable ASCII words without white space, none of them empty.
     plain = ~marked.rlike(r"[^\x01\x21-\x7e]|\x01\x01|^\x01|\x01\z")
-    return F.when(plain, F.translate(marked, "\x01", " ")).otherwise(collapse_japanese_spaces(parted))
+    return F.when(plain, F.replace(marked, F.lit("\x01"), F.lit(" "))).otherwise(collapse_japanese_spaces(parted))
 
 
 def suspicion(text: Column | str, empty: float) -> Column:
     """Share of the visible characters that are neither meaningful nor safe punctuation."""
     text = visible(text)
     # What ASCII has of both goes by a table first; the large class then meets little.
-    odd = F.length(F.regexp_replace(F.translate(text, ASCII_FINE, ""), f"[{MEANINGFUL}{SAFE}]", ""))
+    odd = F.when(text.rlike(ASCII_ODD), F.length(F.regexp_replace(F.translate(text, ASCII_FINE, ""), f"[{MEANINGFUL}{SAFE}]", ""))).otherwise(F.length(text) - F.length(text))
     return F.coalesce(F.try_divide(odd, F.length(text)), F.lit(empty))
 
 
@@ -58,7 +60,7 @@ def mean_confidence(words: Column | str = "words") -> Column:
 
 def line_metrics(lines: DataFrame) -> DataFrame:
     """lines with text, characters, confidence (2 places, 0 if none is known) and suspicious_ratio (0 for an empty line)."""
-    out = lines.withColumn("_marked", F.array_join(F.col("words")["text"], "\x01")).withColumn("text", _normal("_marked")).drop("_marked")
+    out = once(lines.withColumn("_marked", F.array_join(F.col("words")["text"], "\x01")), text=_normal("_marked")).drop("_marked")
     out = out.withColumn("_visible", visible("text")).withColumn("characters", F.length("_visible"))
     return out.withColumn("confidence", rounded(F.coalesce(mean_confidence(), F.lit(0.0)), 2)).withColumn("suspicious_ratio", suspicion("_visible", 0.0)).drop("_visible")
 
@@ -189,7 +191,8 @@ def merge_words(lines: DataFrame) -> DataFrame:
 
 def page_text(lines: DataFrame, place: str = "place") -> DataFrame:
     """(book, page, text): the texts of a page's lines in order, one a line, without empty ones and page numbers."""
-    own = lines.where((F.col("text") != "") & ~is_page_number("text"))
-    parts = F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), "text")))
-    joined = own.groupBy(*PAGE).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
-    return lines.select(*PAGE).distinct().join(joined, PAGE, "left").select(*PAGE, F.coalesce(strip("text"), F.lit("")).alias("text"))
+    shown = (F.col("text") != "") & ~is_page_number("text")
+    # A null is no part, so a page without any still has its row, from one shuffle.
+    parts = F.sort_array(F.collect_list(F.when(shown, F.struct(F.col(place).alias("place"), "text"))))
+    joined = lines.groupBy(*PAGE).agg(F.array_join(parts["text"], "\n").alias("text"))
+    return joined.select(*PAGE, F.coalesce(strip("text"), F.lit("")).alias("text"))

@@ -29,7 +29,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = own.withColumn("block_no", F.floor(F.col("n") / 5).cast("int")).withColumn("line_no", F.col("n"))
     own = own.withColumn("left", (10 + F.pmod(F.col("page") * 7 + F.col("n") * 3, F.lit(40))).cast("double")).withColumn("top", (F.pmod(F.col("n") * 11 + F.col("page"), F.lit(17)) * 60 + F.pmod(F.col("n"), F.lit(3)) * 7).cast("double"))
     own = own.withColumn("right", F.col("left") + 80 + F.pmod(F.col("n") * 37, F.lit(400))).withColumn("bottom", F.col("top") + 14 + F.pmod(F.col("page") + F.col("n") * 5, F.lit(23)))
-    words = F.transform(F.split("line", " "), lambda w, i: F.struct(w.alias("text"), F.col("left").alias("left"), F.col("top").alias("top"), F.col("right").alias("right"), F.col("bottom").alias("bottom"), (F.pmod(F.col("page") * 31 + F.col("n") * 17 + i * 5, F.lit(64)) / 64.0).alias("confidence")))
+    # The i-th word's confidence is (page * 31 + n * 17 + i * 5) % 64 / 64: a stretch of one cycle of 64 values, the line's beginning at
+    # thirteen times its own, as 13 * 5 = 1 modulo 64. Whole arrays are many times as fast as a function called for each word.
+    own = own.withColumn("_texts", F.split("line", " ")).withColumn("_many", F.size("_texts"))
+    cycle = F.array(*(F.lit(i * 5 % 64 / 64.0) for i in range(64)))
+    begins = F.pmod((F.col("page") * 31 + F.col("n") * 17) * 13, F.lit(64)).cast("int") + 1
+    sure = F.slice(F.flatten(F.array_repeat(cycle, F.floor((F.col("_many") + 126) / 64).cast("int"))), begins, F.col("_many"))
+    words = F.arrays_zip(F.col("_texts").alias("text"), *(F.array_repeat(c, F.col("_many")).alias(c) for c in ("left", "top", "right", "bottom")), sure.alias("confidence"))
     return own.select("book", "page", "block_no", "line_no", "left", "top", "right", "bottom", words.alias("words"), F.lit(600).alias("page_width"), F.lit(1000).alias("page_height"))
 
 

@@ -29,3 +29,17 @@ def test_samples_of_odd_sized_pictures():
         im = rng.integers(0, 256, (*rng.integers(1, 90, 2), 3)).astype(np.int16)
         part = im[::2, ::3]
         assert (pixels._channels(np.maximum, part) == part.max(2)).all() and (pixels._channels(np.minimum, part) == part.min(2)).all()
+
+
+def test_line_texts_are_made_once_a_row(spark):
+    for name in ("review_candidates", "page_text", "figure_regions"):
+        assert plan(queries.QUERIES[name](spark, DATA)).count("array_join(") <= (2 if name == "page_text" else 1), name
+
+
+def test_page_text_is_one_shuffle_and_figures_join_nothing(spark):
+    assert "Join" not in plan(queries.page_text(spark, DATA)) and "Join" not in plan(queries.figure_regions(spark, DATA))
+
+
+def test_lines_pass_by_a_hash_of_pages(spark):
+    made = queries.preferred_recogniser(spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    assert made.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in made
