@@ -64,7 +64,8 @@ def usable_recognition(metrics: DataFrame) -> DataFrame:
 def preferred(first: DataFrame, second: DataFrame) -> DataFrame:
     """Lines of two recognisers: of each page the first one's where they are usable_recognition(), the second one's elsewhere."""
     page = ["book", "page"]
-    good = usable_recognition(page_metrics(line_metrics(first))).select(*page)
+    # Pages are few beside lines: their hash is built, and lines pass by it unsorted.
+    good = usable_recognition(page_metrics(line_metrics(first))).select(*page).hint("shuffle_hash")
     return first.join(good, page, "left_semi").unionByName(second.join(good, page, "left_anti"))
 
 
