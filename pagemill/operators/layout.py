@@ -142,15 +142,16 @@ def list_markers(words: DataFrame) -> DataFrame:
 
 
 def upper_quartile(of: Column, page: Window) -> Column:
-    """The value at three quarters of a page's sorted values, of them, not between two."""
-    values = F.array_sort(F.collect_list(of).over(page))
-    return F.element_at(values, F.least(F.size(values), F.floor(F.size(values) * 3 / 4).cast("int") + 1))
+    """The value at three quarters of a page's sorted values, of them, not between two; values are known."""
+    nth, many = F.row_number().over(page.orderBy(of)), F.count(F.lit(1)).over(page)
+    return F.when(nth == F.least(many, F.floor(many * 3 / 4) + 1), of)
 
 
 def figure_flags(lines: DataFrame) -> DataFrame:
     """lines (text, characters, confidence, saturated, nonwhite, dark, page_width) with typical height and why each may be of a
     figure: coloured, ruled, laid_out, labelled."""
-    out = lines.withColumn("typical", upper_quartile(height(), Window.partitionBy(*PAGE)))
+    page = Window.partitionBy(*PAGE)
+    out = lines.withColumn("_quartile", upper_quartile(height(), page)).withColumn("typical", F.max("_quartile").over(page)).drop("_quartile")
     short = F.col("characters") <= 18
     out = out.withColumn("coloured", F.col("saturated") >= 0.012).withColumn("ruled", (F.col("dark") >= 0.075) & (F.col("nonwhite") >= 0.18))
     out = out.withColumn("laid_out", ((height() >= 1.7 * F.col("typical")) | ((F.col("confidence") < 0.62) & short)) & (width() <= 0.8 * F.col("page_width")))
@@ -160,8 +161,13 @@ def figure_flags(lines: DataFrame) -> DataFrame:
 def figure_groups(flagged: DataFrame) -> DataFrame:
     """The candidate lines of flagged with group_no: a new group begins where the gap to the line above is more than five
     typical heights and 15 % of the page."""
-    order = by_page("top", "block_no", "line_no")
-    own = flagged.where("coloured or ruled or laid_out or labelled")
+    return _grouped(flagged).where("_member").drop("_member")
+
+
+def _grouped(flagged: DataFrame) -> DataFrame:
+    """flagged with _member, whether a line is a candidate, and group_no among its like: no join of lines with themselves."""
+    own = flagged.withColumn("_member", F.coalesce(F.expr("coloured or ruled or laid_out or labelled"), F.lit(False)))
+    order = Window.partitionBy(*PAGE, "_member").orderBy("top", "block_no", "line_no")
     gap = F.col("top") - F.lag("bottom").over(order)
     new = F.coalesce(gap > F.greatest(5 * F.col("typical"), 0.15 * F.col("page_height")), F.lit(False)).cast("int")
     return own.withColumn("_new", new).withColumn("group_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
@@ -216,9 +222,8 @@ def figure_regions(flagged: DataFrame) -> DataFrame:
     Taking in labels moves the bounds that the next label is held against, so each page is one fold, over the page's
     lines as one array; pages come in Arrow batches.
     """
-    groups = figure_groups(flagged).select(*LINE, F.col("group_no").cast("int").alias("group_no"))
-    own = flagged.join(groups, LINE, "left").withColumn("group_no", F.coalesce("group_no", F.lit(-1))).withColumn("context", F.col("text").rlike("画面|イメージ"))
-    whole = own.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*_FIELDS))).alias("lines"))
+    own = _grouped(flagged).withColumn("group_no", F.when(F.col("_member"), F.col("group_no")).otherwise(-1).cast("int")).withColumn("context", F.col("text").rlike("画面|イメージ"))
+    whole = own.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(*_FIELDS))).alias("lines"))
 
     def regions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
