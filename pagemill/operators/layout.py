@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.once import once
 from pagemill.functions.text import ascii_share, japanese_count
 from pagemill.operators.lines import MEANINGFUL, PAGE, by_page
 
@@ -97,11 +98,11 @@ def aligned_markers(candidates: DataFrame, image_width: Column | str = "page_wid
     """candidates with aligned: how many checkbox candidates of the page, itself included, have their centre in the same column."""
     image_width = F.col(image_width) if isinstance(image_width, str) else image_width
     centre = (F.col("left") + F.col("right")) / 2
-    boxes = candidates.where("checkbox").select(*PAGE, centre.alias("c_centre"))
-    own = candidates.withColumn("_centre", centre)
-    near = own.join(boxes, PAGE).where(F.abs(F.col("c_centre") - F.col("_centre")) <= F.greatest(0.45 * height(), 0.012 * image_width))
-    counts = near.groupBy(*LINE).agg(F.count("*").alias("aligned"))
-    return candidates.join(counts, LINE, "left").withColumn("aligned", F.coalesce("aligned", F.lit(0)))
+    # A page's centres as one value, so that candidates are neither joined with themselves nor multiplied.
+    own = candidates.withColumn("_boxes", F.collect_list(F.when(F.col("checkbox"), centre)).over(Window.partitionBy(*PAGE)))
+    own = own.withColumn("_centre", centre).withColumn("_reach", F.greatest(0.45 * height(), 0.012 * image_width))
+    near = F.size(F.filter("_boxes", lambda c: F.abs(c - F.col("_centre")) <= F.col("_reach"))).cast("bigint")
+    return once(own, aligned=near).select(*candidates.columns, "aligned")
 
 
 def list_markers(words: DataFrame) -> DataFrame:
@@ -126,7 +127,9 @@ def list_markers(words: DataFrame) -> DataFrame:
     box = (dark < 0.68) & ((dark >= 0.32) | (large & (dark >= 0.25))) & (F.col("gap") >= h * F.when(large, 0.15).otherwise(0.2)) & (token.startswith("[") | token.isin(*CHECKBOX_MISREADINGS) | large)
     prefix = F.regexp_extract("following", f"^([^{MEANINGFUL}]{{0,3}})[{MEANINGFUL}]", 1)
     starts = F.col("following").rlike(f"^[^{MEANINGFUL}]{{0,3}}[{MEANINGFUL}]") & (~prefix.rlike(r"(?U)\S") | explicit | token.isin(*MISREAD_MARKERS))
-    first = own.where((h > 0) & (width() > 0) & plain & sized & (F.col("gap") >= 0) & starts).withColumn("solid", solid).withColumn("checkbox", box).where("solid or checkbox")
+    able = (h > 0) & (width() > 0) & plain & sized & (F.col("gap") >= 0) & starts
+    # Two steps: the conditions are planned with the whole of gap and following, which are made once.
+    first = once(once(own, gap=F.col("gap"), following=F.col("following")), solid=able & solid, checkbox=able & box).where("solid or checkbox")
     taken = aligned_markers(first).where("solid or aligned >= 2").select(*LINE, "token", "following", "solid", "checkbox", "dark", "left", "right", "top", "bottom", "page_width")
     anchors = taken.where("checkbox").select(*PAGE, ((F.col("left") + F.col("right")) / 2).alias("a_centre"))
     enough = anchors.groupBy(*PAGE).agg(F.collect_list("a_centre").alias("centres")).where(F.size("centres") >= 2)

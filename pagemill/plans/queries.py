@@ -11,7 +11,7 @@ from pagemill.functions import text as tx
 from pagemill.functions.numbers import sql_rounded
 from pagemill.functions.rules import Correction, Review
 from pagemill.operators import books, corrections, layout, lines, pixels, reports
-from pagemill.plans import corpus
+from pagemill.plans import corpus, pages
 from pagemill.plans.corpus import SQL_LINES, SQL_PAGES, SQL_TALKS
 from pagemill.sources import readers
 from pagemill.streaming import frames
@@ -514,7 +514,7 @@ def list_markers(spark, sf_dir):
     first, rest = F.substring_index("text", " ", 1), F.regexp_replace("text", r"^\\S* ?", "")
     marker = F.when(F.length(first) > 4, F.element_at(F.array(*map(F.lit, ("\u25a0", "[", "V", "\u2022"))), (F.col("line_no") % 4 + 1).cast("int"))).otherwise(first)
     own = own.select("book", "page", "block_no", "line_no", marker.alias("token"), "left", "top", (F.col("left") + 20).alias("right"), (F.col("top") + 20).alias("bottom"), (F.length(rest) == 0).alias("alone"), F.when(F.length(rest) > 0, F.col("left") + 45).alias("next_left"), F.when(F.length(rest) > 0, rest).alias("rest"), "text", "page_width", "page_height", ((F.col("line_no") * 7 + F.col("page")) % 16 / 16.0).alias("dark"))
-    return layout.list_markers(own)
+    return layout.list_markers(pages.settled(own))  # read several times
 
 
 @query("SELECT p_partkey AS page, CAST(CASE WHEN p_partkey % 30 BETWEEN 1 AND 23 THEN greatest(8, p_partkey % 30) ELSE 0 END AS INT) AS strip FROM part")
