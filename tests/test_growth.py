@@ -43,3 +43,15 @@ def test_page_text_is_one_shuffle_and_figures_join_nothing(spark):
 def test_lines_pass_by_a_hash_of_pages(spark):
     made = queries.preferred_recogniser(spark, DATA)._jdf.queryExecution().sparkPlan().toString()
     assert made.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in made
+
+
+def test_needed_strings_of_patterns(spark):
+    from pagemill.operators.corrections import needed
+
+    known = {"a|b": "", "abc?d": "ab", "ab{2}c": "a", "[0-9]+": "", r"\bthe\b": "the", "(?i)abc": "", "x(abc)?yz": "yz", r"\x41bc": "", r"\p{L}bc": "", r"(?<![A-Za-z])J\s+udge\b": "udge", r"(?<=生成 )Al(?![a-z])": "Al"}
+    assert {p: needed(p) for p in known} == known
+    assert "contains(" in plan(queries.context_corrections(spark, DATA)).lower()
+
+
+def test_markers_read_written_lines(spark):
+    assert "pages-" in "".join(queries.list_markers(spark, DATA).inputFiles())
